@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from . import language_id, toxicity
+from .common import remainder, table
 from .mixing import mix
 from .url_filter import Rule, filter_urls, rules_frame
 
@@ -17,6 +18,20 @@ URL_RULES = [
 ]
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = language_id.fit(docs, remainder("doc_id", 4) != 2)
+    texts = docs.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "text")
+    return language_id.identify(texts, model).drop("text")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    grammar = toxicity.fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"), remainder("doc_id", 3) != 1)
+    texts = docs.select("doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "text")
+    return toxicity.score_texts(texts, grammar).drop("text")
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents", "doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -26,6 +41,8 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op3_toxicity": op3_toxicity,
     "op7_source_mixing": op7_source_mixing,
     "op8_url_filters": op8_url_filters,
 }
