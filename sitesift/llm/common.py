@@ -78,3 +78,13 @@ def mixed(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(32))
     h = h * np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(32))
+
+
+def _bound_rows(value: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are at most `value`: two levels of counting, so that no row looks at all of them."""
+    step = max(1, int(len(bounds) ** 0.5))
+    heads = F.array(*[F.lit(b) for b in bounds[::step]])
+    table = F.array(*[F.array(*[F.lit(b) for b in bounds[i : i + step]]) for i in range(0, len(bounds), step)])
+    group = F.size(F.filter(heads, lambda b: b <= value))
+    inside = F.size(F.filter(F.coalesce(F.get(table, group - 1), F.array().cast("array<bigint>")), lambda b: b <= value))
+    return F.when(group == 0, F.lit(0)).otherwise((group - 1) * step + inside)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, toxicity
+from . import fingerprint, language_id, toxicity
 from .common import remainder, table
 from .mixing import mix
 from .url_filter import Rule, filter_urls, rules_frame
@@ -25,6 +25,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(texts, model).drop("text")
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     grammar = toxicity.fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"), remainder("doc_id", 3) != 1)
@@ -42,6 +46,7 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_fingerprints": op2_fingerprints,
     "op3_toxicity": op3_toxicity,
     "op7_source_mixing": op7_source_mixing,
     "op8_url_filters": op8_url_filters,

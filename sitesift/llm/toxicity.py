@@ -173,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, per_label: int = 30
     counts = sample.mapInArrow(_counts, "stem string, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     size = {y: max(1, min(per_label, totals[y])) for y in (0, 1)}
     odds = F.log((F.col("toxic") + 0.5) / (size[1] + 1)) - F.log((F.col("clean") + 0.5) / (size[0] + 1))
-    worth = F.col("toxic") >= max(4, size[1] // 400)
+    worth = F.col("toxic") >= max(4, size[1] // 100)
     pure = F.col("clean") / size[0] <= 0.02 * F.col("toxic") / size[1]
     best = counts.filter(worth & pure).select("stem", odds.alias("weight")).filter("weight >= 2").orderBy(F.desc("weight"), "stem").limit(most_stems).collect()
     grammar = Grammar({r[0]: float(r[1]) for r in best}, (1.0, 0.5, 0.0), -3.0)
