@@ -38,10 +38,10 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def among(df: DataFrame, keys: DataFrame, on: str, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df's rows whose `on` is in keys (distinct, materialised): a broadcast up to `limit` keys, a shuffled semi join beyond."""
+def among(df: DataFrame, keys: DataFrame, on: str, limit: int = BROADCAST_ROWS, how: str = "left_semi") -> DataFrame:
+    """df's rows whose `on` is in keys (distinct, materialised), or is not (left_anti): a broadcast up to `limit` keys, a shuffled join beyond."""
     small = keys.limit(limit + 1).count() <= limit
-    return df.join(F.broadcast(keys) if small else keys, on, "left_semi")
+    return df.join(F.broadcast(keys) if small else keys, on, how)
 
 
 def remainder(column: str, modulus: int) -> Column:

@@ -263,8 +263,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs' rows that represent their component: one of each group, rows of one id being one group; rows with a null id stay."""
-    decided = near_duplicates(docs, text, key).filter("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    decided = materialise(decided)
-    some = docs.filter(F.col(key).isNotNull()).dropDuplicates([key])
-    return some.join(decided, F.col(key) == F.col("__kept"), "left_semi").unionByName(docs.filter(F.col(key).isNull()))
+    """docs' rows that represent their component: one of each group, rows of one id being one group; rows with a null id stay.
+
+    Only the ids of rows that go are joined to the texts.
+    """
+    decided = materialise(near_duplicates(docs, text, key).filter("doc_id is not null"))
+    gone = decided.filter("not kept").select(F.col("doc_id").alias(key)).distinct()
+    twice = decided.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(key))
+    twice = materialise(twice.join(gone, key, "left_anti"))
+    out = among(docs, materialise(gone.unionByName(twice)), key, how="left_anti")
+    return out.unionByName(among(docs, twice, key).dropDuplicates([key])).select(*docs.columns)
