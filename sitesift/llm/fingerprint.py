@@ -15,15 +15,17 @@ own row.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import flat, mixed, slices
-from .neighbours import buckets, with_next
+from .neighbours import with_next
 
 ROLL, FIRST_BLOCK, LENGTH = 7, 4, 64
 _BASE = 0x9E3779B97F4A7C15
@@ -165,31 +167,43 @@ def likeness(a: list[str], b: list[str]) -> np.ndarray:
     return out
 
 
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fingerprints, and texts compressed for the shuffle."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        texts = batch.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints(batch.column(1)), pa.string()), pa.array([pack((t or "").encode()) for t in texts], pa.binary())], names=["doc_id", "fingerprint", "packed"])
+
+
+def _edited(batches: Iterator[pa.RecordBatch], chunk: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    for whole in batches:
+        sizes = flat(whole.column(2))[1]
+        for lo, hi in slices(sizes, chunk):
+            batch = whole.slice(lo, hi - lo)
+            own = batch.column(1).to_pylist()
+            texts, chars = [], []
+            for mine, after in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                mine, after = unpack(mine).decode(), unpack(after).decode()
+                half = len(mine) // 2
+                chars.append(len(mine))
+                texts.append(mine[: len(mine) - half] + after[:half])
+            edited = fingerprints(pa.array(texts, pa.string()))
+            hashes = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+            near = likeness(own, edited), likeness(own, batch.column(4).to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(chars, pa.int64()), pa.array(hashes, pa.string()), batch.column(1), pa.array(edited, pa.string()), pa.array(near[0]), pa.array(near[1])],
+                names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+            )
+
+
 def edited_fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Every text's fingerprint, that of its edited text (its last half replaced by as much of the next text's beginning), and likenesses.
 
-    The next document is the next in descending order of the id; texts are shuffled once, to be beside the next text.
+    The next document is the next in descending order of the id, of equal ids by fingerprint. Texts are shuffled once, compressed, to be beside the next text.
     """
-    plain = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    bounds = buckets(docs.select(F.col(key).alias("doc_id")), "doc_id")
-    beside = with_next(plain, "doc_id", {"next_text": F.col("text")}, bounds)
-    size = F.length("text")
-    half = F.floor(size / 2).cast("int")
-    edited = F.concat(F.col("text").substr(F.lit(1), size - half), F.col("next_text").substr(F.lit(1), half))
-    ready = beside.select("doc_id", size.cast("long").alias("n_chars"), "text", edited.alias("edited"))
-    ready = ready.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "text", "edited")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own, other = fingerprints(batch.column(3)), fingerprints(batch.column(4))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(own, pa.string()), pa.array(other, pa.string()), pa.array(likeness(own, other))], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited"])
-
-    marked = ready.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double")
-    following = with_next(marked, "doc_id", {"next_fingerprint": F.col("fingerprint")}, bounds)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = likeness(batch.column(3).to_pylist(), batch.column(6).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(near)], names=[*batch.schema.names[:6], "near_next"])
-
-    return following.mapInArrow(compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    make = lambda d: d.mapInArrow(_marked, "doc_id long, fingerprint string, packed binary")
+    beside = with_next(plain, "doc_id", make, ["packed", "fingerprint"], "fingerprint")
+    ready = beside.select("doc_id", "fingerprint", "packed", "next_packed", "next_fingerprint")
+    return ready.mapInArrow(_edited, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

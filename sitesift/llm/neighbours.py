@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,24 +21,23 @@ def buckets(df: DataFrame, key: str, rows: int = 1500, most: int = 4096) -> list
     return sorted({int(x) for x in found})
 
 
-def with_next(df: DataFrame, key: str, columns: dict, bounds: list[int]) -> DataFrame:
-    """df with columns of the next row in descending order of `key` (nulls last); the last row's next is the first.
+def with_next(df: DataFrame, key: str, make: Callable[[DataFrame], DataFrame], columns: list[str], order: str) -> DataFrame:
+    """make(df) with columns next_<c> of the next row in descending order of `key` (nulls last), equal keys by `order`; the last row's next is the first.
 
-    columns: new name -> expression of the next row. Rows are dealt to ranges between `bounds`; windows run inside a range, and only each
-    range's first row is moved to the range before. Equal keys are in no defined order, so callers give a unique key or equal rows.
+    make keeps `key` and adds `columns` and `order`. Rows are dealt to ranges of the key and windows run inside a range; only each range's first
+    row is moved to the range before, and only these few are made twice.
     """
-    at = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(key))) if len(bounds) < 64 else None
-    if at is None:
-        at = _bound_rows(F.col(key), bounds)
+    bounds = buckets(df.select(key), key)
     # ranges count down with the order; null keys have a range of their own at the end
-    ranged = df.withColumn("__range", F.when(F.col(key).isNull(), F.lit(len(bounds) + 1)).otherwise(F.lit(len(bounds)) - at))
-    order = Window.partitionBy("__range").orderBy(F.col(key).desc_nulls_last())
-    mine = F.struct(*[e.alias(n) for n, e in columns.items()])
-    inner = ranged.withColumn("__next", F.lead(mine).over(order))
-    firsts = ranged.select("__range", F.col(key).alias("__key"), mine.alias("__first"))
-    firsts = firsts.groupBy("__range").agg(F.max_by("__first", F.coalesce(F.col("__key"), F.lit(0))).alias("__first"))
-    every = Window.orderBy("__range")  # a row for each range: few
-    firsts = firsts.withColumn("__then", F.coalesce(F.lead("__first").over(every), F.first("__first").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    edges = materialise(firsts.select("__range", "__then"))
-    out = inner.join(F.broadcast(edges), "__range").withColumn("__next", F.coalesce("__next", "__then"))
-    return out.select(*df.columns, *[F.col(f"__next.{n}").alias(n) for n in columns])
+    ranged = lambda d: d.withColumn("__range", F.when(F.col(key).isNull(), F.lit(len(bounds) + 1)).otherwise(F.lit(len(bounds)) - _bound_rows(F.col(key), bounds)))
+    heads = materialise(ranged(df.select(key)).groupBy("__range").agg(F.max(key).alias("__key")))  # a row for each range
+    first = make(df.join(F.broadcast(heads.select("__key")), F.col(key).eqNullSafe(F.col("__key")), "left_semi"))
+    first = ranged(first).groupBy("__range").agg(F.min(F.struct(order, *[c for c in columns if c != order])).alias("__first"))
+    every = Window.orderBy("__range")
+    whole = every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    then = F.coalesce(F.lead("__first").over(every), F.first("__first").over(whole))
+    edges = materialise(first.withColumn("__then", then).select("__range", "__then"))
+    made = ranged(make(df))
+    follow = F.lead(F.struct(order, *[c for c in columns if c != order])).over(Window.partitionBy("__range").orderBy(F.col(key).desc_nulls_last(), order))
+    out = made.withColumn("__next", follow).join(F.broadcast(edges), "__range").withColumn("__next", F.coalesce("__next", "__then"))
+    return out.select(*[c for c in made.columns if c != "__range"], *[F.col(f"__next.{c}").alias(f"next_{c}") for c in columns])
