@@ -34,7 +34,7 @@ def apportion(votes: np.ndarray, seats: int, most: np.ndarray | None = None) ->
     most: seats that each may get at most; what is over goes to the next quotients.
     """
     votes = np.asarray(votes, float)
-    most = np.full(len(votes), np.iinfo(np.int64).max // 4) if most is None else np.asarray(most, np.int64)
+    most = np.full(len(votes), max(int(seats), 0)) if most is None else np.asarray(most, np.int64)
     seats = int(min(seats, most[votes > 0].sum() if (votes > 0).any() else 0))
     got = np.zeros(len(votes), np.int64)
     if seats <= 0:
