@@ -49,7 +49,9 @@ def attribute_emails(raw: Column) -> Column:
 
 def protected_emails(html: Column) -> Column:
     """data-cfemail: hex bytes, each xor the first."""
-    codes = _all(unescape(F.coalesce(html, F.lit(""))), r"(?is)\bdata-cfemail\s*=\s*[\"']([0-9a-fA-F]+)[\"']", 1)
+    html = F.coalesce(html, F.lit(""))
+    held = F.when(F.contains(html, F.lit("cfemail")), unescape(html)).otherwise("")
+    codes = _all(held, r"(?is)\bdata-cfemail\s*=\s*[\"']([0-9a-fA-F]+)[\"']", 1)
     codes = F.filter(codes, lambda c: (F.length(c) >= 4) & (F.length(c) % 2 == 0))
 
     def decoded(code: Column) -> Column:

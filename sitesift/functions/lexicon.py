@@ -1,8 +1,8 @@
 """Counting lexicon terms.
 
-A term of Latin letters, digits, spaces and `.+-` is counted between non-alphanumerics, any other as a substring. A count over weighted sections is one count in
-the body and one in a text that repeats each section as its weight says: weights are multiples of 1/2, so the sum is exact. Sums are balanced
-trees, and a regular expression runs only where its longest word occurs.
+A term of Latin letters, digits, spaces and `.+-` is counted between non-alphanumerics, any other as a substring. A text is scanned once for the terms of all
+lists: a pattern that only looks ahead captures the term that starts at each place, and terms that can start at one place are kept in patterns of their own. A
+list's count is then the number of captured terms in it, so more lists cost no more scans.
 """
 
 from __future__ import annotations
@@ -12,10 +12,6 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: No term holds it, so no match crosses it.
-BREAK = "\u0001"
-
-
 def latin(term: str) -> bool:
     return bool(re.fullmatch(r"[a-z0-9][a-z0-9 .+\-]{0,64}", term)) and any(c.isalpha() for c in term)
 
@@ -38,11 +34,6 @@ def balanced_sum(parts: list[Column]) -> Column:
     return parts[0]
 
 
-def weighted_text(sections: dict[str, tuple[Column, float]]) -> Column:
-    """Each section 2 * weight times, apart from each other."""
-    return F.concat_ws(BREAK, *[F.repeat(F.concat(text, F.lit(BREAK)), int(2 * weight)) for text, weight in sections.values()])
-
-
 def _clash(a: str, b: str) -> bool:
     """Whether two terms can start at one place."""
     a, b = sorted((a, b), key=len)
@@ -75,28 +66,56 @@ def _alternatives(terms: list[str]) -> str:
     return "|".join(quoted(c) + "(?:" + "|".join(map(quoted, rest)) + ")" for c, rest in by.items())
 
 
-def total(text: Column, terms: list[str]) -> Column:
-    """Occurrences of all terms of a bag in a normalized text.
-
-    Places where a term starts are counted, a pattern for each group; substring terms that could overlap themselves are counted one by one.
-    """
-    low = [t.lower() for t in terms if t]
-    words = groups([t for t in low if latin(t)])
+def matches(text: Column, vocabulary: list[str]) -> Column:
+    """Every occurrence of every term in a normalized text, as an array of terms; non-overlapping occurrences of each term, as if it were sought alone."""
+    low = sorted({t.lower() for t in vocabulary if t})
+    words = [t for t in low if latin(t)]
     others = [t for t in low if not latin(t)]
     alone = [t for t in others if _overlaps_itself(t)]
-    parts = [F.regexp_count(text, F.lit(rf"(?<![a-z0-9])(?=(?:{_alternatives(g)})(?![a-z0-9]))")) for g in words]
-    rest = [F.regexp_count(text, F.lit(f"(?={_alternatives(g)})")) for g in groups([t for t in others if t not in alone])]
-    rest += [count(text, t) for t in alone]
-    if rest:
-        parts.append(F.when(text.rlike(r"[^\x00-\x7F]") if all(not t.isascii() for t in others) else F.lit(True), balanced_sum(rest)).otherwise(0))
+    arabic = [t for t in others if t not in alone and re.search("[\u0600-\u06ff]", t)]
+    rest = [t for t in others if t not in alone and t not in arabic]
+    none = F.array().cast("array<string>")
+    seek = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    found = [seek(rf"(?<![a-z0-9])(?=({_alternatives(g)})(?![a-z0-9]))") for g in groups(words)]
+    found += [seek(f"(?=({_alternatives(g)}))") for g in groups(rest)]
+    if arabic:
+        found.append(F.when(text.rlike(r"[\u0600-\u06ff]"), F.concat(*[seek(f"(?=({_alternatives(g)}))") for g in groups(arabic)])).otherwise(none))
+    found += [F.array_repeat(F.lit(t), count(text, t)) for t in alone]
+    return F.concat(none, *found)
+
+
+def literals(words: list[str]) -> Column:
+    """A constant array, made by one call however long it is."""
+    quoted = ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in words)
+    return F.expr(f"cast(array({quoted}) as array<string>)")
+
+
+def _member(words: list[str]):
+    listed = literals(words)
+    return lambda m: F.array_contains(listed, m)
+
+
+def tally(found: Column, terms: list[str]) -> Column:
+    """How often the terms of a bag are among the matches; a term that stands twice in the bag counts twice."""
+    left, parts = [t.lower() for t in terms if t], []
+    while left:
+        once = list(dict.fromkeys(left))
+        parts.append(F.size(F.filter(found, _member(once))))
+        for t in once:
+            left.remove(t)
     return balanced_sum(parts)
 
 
+def total(text: Column, terms: list[str]) -> Column:
+    """Occurrences of all terms of a bag in a normalized text."""
+    return tally(matches(text, terms), terms)
+
+
 def some_of(text: Column, terms: list[str], least: int = 1) -> Column:
     """1.0 where at least `least` entries are substrings, else 0.0."""
     entries = [t.lower() for t in terms if t]
     if least == 1:
-        hit = text.rlike("|".join(re.escape(t) for t in entries)) if entries else F.lit(False)
+        hit = F.exists(literals(entries), lambda t: F.contains(text, t))
     else:
-        hit = F.size(F.filter(F.array(*map(F.lit, entries)), lambda t: F.contains(text, t))) >= least
+        hit = F.size(F.filter(literals(entries), lambda t: F.contains(text, t))) >= least
     return F.when(hit, 1.0).otherwise(0.0)

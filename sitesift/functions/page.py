@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import terms
-from .lexicon import balanced_sum
+from .lexicon import literals
 from .text import collapse, normalize, strip_tags
 
 SECTIONS = ("title", "meta", "h1", "h2", "footer", "contact")
@@ -71,7 +71,7 @@ def company_name(site_domain: Column, title: Column, h1: Column, ld_name: Column
 
 def city(body: Column, strong: Column, ld_city: Column, cities: list[str] = terms.CITIES) -> Column:
     """JSON-LD city, else the listed one with the most mentions (twice in strong sections); the first of equals wins."""
-    listed = F.array(*[F.struct(F.lit(c.lower()).alias("city"), F.lit(-i).alias("place")) for i, c in enumerate(cities)])
+    listed = F.transform(literals([c.lower() for c in cities]), lambda c, i: F.struct(c.alias("city"), (-i).alias("place")))
     mentions = lambda text, c: F.when(F.contains(text, c), ((F.length(text) - F.length(F.replace(text, c, F.lit("")))) / F.length(c)).cast("int")).otherwise(0)
     scored = F.transform(listed, lambda x: F.struct((2 * mentions(strong, x["city"]) + mentions(body, x["city"])).alias("score"), x["place"].alias("place"), x["city"].alias("city")))
     best = F.array_max(scored)
@@ -105,9 +105,10 @@ def _href(href: Column) -> Column:
 def link_scores(url: Column, anchor: Column) -> dict[str, Column]:
     """A score for each kind of page that a crawl prefers."""
     u, a = F.lower(url), F.lower(anchor)
-    extra = {"contact": 20 * (F.contains(u, F.lit("whatsapp")) | F.contains(u, F.lit("wa.me"))).cast("int"), "projects": 10 * (F.contains(u, F.lit("gallery")) | F.contains(u, F.lit("portfolio"))).cast("int")}
     kinds = {"contact": terms.LINK_CONTACT, "about": terms.LINK_ABOUT, "services": terms.LINK_SERVICES, "projects": terms.LINK_PROJECTS}
-    return {k: balanced_sum([100 * F.contains(u, F.lit(p.lower())).cast("int") + 80 * F.contains(a, F.lit(p.lower())).cast("int") for p in v] + ([extra[k]] if k in extra else [])) for k, v in kinds.items()}
+    among = lambda text, words: F.size(F.filter(literals([w.lower() for w in words]), lambda w: F.contains(text, w)))
+    extra = {"contact": 20 * u.rlike(r"whatsapp|wa\.me").cast("int"), "projects": 10 * u.rlike("gallery|portfolio").cast("int")}
+    return {k: 100 * among(u, v) + 80 * among(a, v) + extra.get(k, F.lit(0)) for k, v in kinds.items()}
 
 
 __all__ = ["SECTIONS", "city", "company_name", "country", "json_ld", "link_scores", "links", "listed_city", "normalize", "sections"]

@@ -18,6 +18,9 @@ ENTITIES = [
 ]
 
 
+_ENTITY_TABLE = "array(" + ", ".join("named_struct('name', '&{};', 'char', '{}')".format(name, char.replace("'", "\\'")) for name, char in ENTITIES) + ")"
+
+
 def collapse(text: Column) -> Column:
     """White space runs to one space, none at the ends."""
     return F.trim(F.regexp_replace(text, SPACE + "+", " "))
@@ -36,7 +39,7 @@ def _point(number: Column) -> Column:
 
 def unescape(text: Column) -> Column:
     """HTML references: numeric ones, and those of ENTITIES by name; `&amp;` last, so nothing is decoded twice."""
-    table = F.array(*[F.struct(F.lit(f"&{name};").alias("name"), F.lit(char).alias("char")) for name, char in ENTITIES])
+    table = F.expr(_ENTITY_TABLE)
     named = F.aggregate(table, text, lambda acc, e: F.replace(acc, e["name"], e["char"]))
     parts = F.split(named, "&#")
     digits = lambda p: F.regexp_extract(p, r"^([0-9]{1,7});?", 1)

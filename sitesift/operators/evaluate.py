@@ -34,7 +34,7 @@ RECALL_SIGNALS = "recall_mode recall_non_ksa_reject recall_source_reject recall_
 
 
 def _any(text: Column, words: list[str]) -> Column:
-    return text.rlike("|".join(w.replace(".", r"\.") for w in words))
+    return F.exists(lexicon.literals(words), lambda w: F.contains(text, w))
 
 
 def _flag(condition: Column) -> Column:
@@ -74,42 +74,39 @@ def texts(sites: DataFrame, config: ScoringConfig = ScoringConfig()) -> DataFram
     held = sites.select("*", domain(F.col("url")).alias("domain"), path(F.col("url")).alias("path"), body.alias("body_text"), F.when(has_html, html).otherwise("").alias("page"))
     held = held.withColumns({"raw": decoded_html(F.col("page")), "sections": page.sections(F.col("page")), "ld": page.json_ld(F.col("page"))})
     held = held.withColumns({"contacts": contacts(F.col("body_text"), F.col("page"), F.col("raw"), F.col("domain")), "body": normalize(F.col("body_text")), **{s: normalize(F.col(f"sections.{s}")) for s in page.SECTIONS}})
-    return held.withColumns(
-        {
-            "strong": lexicon.weighted_text({s: (F.col(s), w) for s, w in WEIGHTS.items()}),
-            "head": lexicon.weighted_text({"title": (F.col("title"), 3.0), "h1": (F.col("h1"), 2.0), "h2": (F.col("h2"), 1.5)}),
-            "front": lexicon.weighted_text({"domain": (F.col("domain"), 3.0), "title": (F.col("title"), 2.5), "h1": (F.col("h1"), 2.0)}),
-        }
-    ).drop("raw", "page", "sections", "body_text")
-
-
-def weighted(terms_: list[str]) -> Column:
-    """Occurrences in body and sections by weight."""
-    return (lexicon.total(F.col("strong"), terms_) / 2 + lexicon.total(F.col("body"), terms_)).cast("double")
+    return held.drop("raw", "page", "sections", "body_text")
 
 
 def counted(held: DataFrame, config: ScoringConfig) -> DataFrame:
-    """The evidence counts of every list."""
-    lex = config.lexicon
+    """The evidence counts of every list: each section is scanned once, and its matches stand as often as it weighs, twice."""
+    lex, body = config.lexicon, F.col("body")
     lists = {
         "hp": lex.high_precision, "mp": lex.mid_precision, "biz": lex.business_intent, "neg": lex.negative, "kitchen_hits": lex.kitchen,
         "individual": lex.individual_markers, "business": lex.business_markers, "service_ev": terms.SERVICE_EVIDENCE, "developer_ev": terms.DEVELOPER_EVIDENCE,
         "b2b": terms.PROJECT_EVIDENCE, "c_showroom": lex.showroom, "c_fitout": lex.fitout, "c_architect": lex.architect, "c_developer": lex.developer,
         "c_designer": lex.designer, "proof": terms.SHOWROOM_PROOF,
     }
-    out = held
-    for name, words in lists.items():  # a projection each keeps generated methods small
-        out = out.withColumn(name, weighted(words))
-    body = F.col("body")
-    return out.withColumns(
+    guards = [*lex.hard_negative, *terms.OFF_VERTICAL]
+    every = [t for words in lists.values() for t in words] + guards
+    vocabulary = {"body": every, "title": every, "h1": every, "domain": guards, **{k: every for k in WEIGHTS}}
+    out = held.withColumns({f"m_{k}": lexicon.matches(F.col(k), v) for k, v in vocabulary.items()})
+    times = lambda **weights: F.flatten(F.array(*[F.flatten(F.array_repeat(F.col(f"m_{k}"), int(2 * w))) for k, w in weights.items()]))
+    out = out.withColumns(
+        {
+            "m_all": times(**WEIGHTS, body=1.0), "m_head": times(title=3.0, h1=2.0, h2=1.5), "m_front": times(domain=3.0, title=2.5, h1=2.0, body=1.0),
+            "m_hard": F.concat("m_title", "m_h1", "m_domain"),
+        }
+    )
+    half = lambda found, words: (lexicon.tally(F.col(found), words) / 2).cast("double")
+    out = out.withColumns(
         {
-            "neg_head": (lexicon.total(F.col("head"), lex.negative) / 2).cast("double"),
-            "hard_head": lexicon.total(F.concat_ws(lexicon.BREAK, "title", "h1"), lex.hard_negative) + lexicon.total(F.col("domain"), lex.hard_negative),
-            "off_vertical": (lexicon.total(F.col("front"), terms.OFF_VERTICAL) / 2 + lexicon.total(body, terms.OFF_VERTICAL)).cast("double"),
+            **{name: half("m_all", words) for name, words in lists.items()},
+            "neg_head": half("m_head", lex.negative), "hard_head": lexicon.tally(F.col("m_hard"), lex.hard_negative), "off_vertical": half("m_front", terms.OFF_VERTICAL),
             "kitchen": lexicon.some_of(body, lex.kitchen), "interior": lexicon.some_of(body, lex.interior), "fitout": lexicon.some_of(body, lex.fitout, 2),
             "architect": lexicon.some_of(body, lex.architect), "portfolio": lexicon.some_of(body, lex.portfolio, 2), "words": word_count(body),
         }
     )
+    return out.drop(*[f"m_{k}" for k in (*vocabulary, "all", "head", "front", "hard")])
 
 
 def categorized(lead_type: Column) -> Column:

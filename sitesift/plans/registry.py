@@ -26,6 +26,12 @@ SMALL = ScoringConfig().with_lexicon(
 )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores where a small file would leave most of them idle; larger tables are read in enough parts anyway."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
@@ -120,7 +126,8 @@ def q_company_name(spark, d):
 
 
 def _evaluated(spark, d, config):
-    return evaluate(_plain(spark, d).select("page_id", "url", "html", F.col("plain").alias("text")), config)
+    rows = spread(_pages(spark, d)).withColumn("text", text.page_text(F.col("html")))
+    return evaluate(rows.select("page_id", "url", "html", "text"), config)
 
 
 def q_evaluate_precision(spark, d):
@@ -245,7 +252,7 @@ def q_batch_leads(spark, d):
     rows = _pages(spark, d).select(urls.domain(F.col("url")).alias("domain"), F.col("page_id").alias("seq"), "html")
     joined = folded.withColumnRenamed("domain", "candidate").join(crawl.site_texts(rows), F.col("candidate") == F.col("site"))
     sites = joined.select("candidate", "first_seen_at", "hits", F.col("text").alias("aggregated_text"), F.col("example_url").alias("url"), F.col("home_html").alias("html"), "text")
-    return leads.batch_leads(evaluate(sites)).withColumn("signals", F.to_json("signals"))
+    return leads.batch_leads(evaluate(spread(sites))).withColumn("signals", F.to_json("signals"))
 
 
 def q_last_seen(spark, d):
