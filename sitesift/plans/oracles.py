@@ -125,4 +125,8 @@ select coalesce(n.domain, o.domain) as domain, coalesce(nullif(n.email, ''), o.e
     "q_query_generator": f"with {_GENERATED} select * from g",
     "q_search_requests": f"with {_GENERATED} select seq, page, q, 1 + page * 10 as start from g, (select unnest(range(3)) as page)",
     "q_last_seen": f"with {_HITS} select * from (select domain, seq, url, row_number() over (partition by domain order by seq desc) as place from hit) where place <= 5",
+    # without a (query, url) that comes back after it was dropped, the kept hits are the last 20 first occurrences
+    "q_candidate_fold": f"""with {_HITS}, f as (select domain, query, url, min(seq) as seq from hit group by 1, 2, 3), r as (select *, row_number() over (partition by domain order by seq desc) as i from f),
+k as (select domain, count(*) as kept, sha256(string_agg(url, '|' order by seq)) as urls_sha256 from r where i <= 20 group by 1)
+select domain, arg_min(hit."at", hit.seq) as first_seen_at, arg_max(hit."at", hit.seq) as last_seen_at, arg_min(hit.url, hit.seq) as example_url, any_value(kept) as kept, any_value(urls_sha256) as urls_sha256 from hit join k using (domain) group by 1""",
 }
