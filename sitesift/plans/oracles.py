@@ -129,4 +129,5 @@ select coalesce(n.domain, o.domain) as domain, coalesce(nullif(n.email, ''), o.e
     "q_candidate_fold": f"""with {_HITS}, f as (select domain, query, url, min(seq) as seq from hit group by 1, 2, 3), r as (select *, row_number() over (partition by domain order by seq desc) as i from f),
 k as (select domain, count(*) as kept, sha256(string_agg(url, '|' order by seq)) as urls_sha256 from r where i <= 20 group by 1)
 select domain, arg_min(hit."at", hit.seq) as first_seen_at, arg_max(hit."at", hit.seq) as last_seen_at, arg_min(hit.url, hit.seq) as example_url, any_value(kept) as kept, any_value(urls_sha256) as urls_sha256 from hit join k using (domain) group by 1""",
+    "q_stream_upsert": "with e as (select cast(user_id as varchar) as domain, event_id, case when event_type = 'click' then event_type || event_id else '' end as email from events) select domain, sha1(domain) as lead_id, coalesce(arg_max(email, event_id) filter (where email <> ''), '') as email, '' as phone, cast(min(event_id) as varchar) as discovered_at from e group by 1",
 }

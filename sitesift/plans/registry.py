@@ -7,6 +7,8 @@ through the same code, and the full evaluations take both.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,7 +19,8 @@ from ..operators import candidates, crawl, leads
 from ..operators.evaluate import counted, evaluate, ksa_signal, non_ksa, source_type, texts
 from ..sources import queries as query_sources
 from ..sources import search
-from ..sources.sinks import wide_signals
+from ..sources.sinks import Snapshot, wide_signals
+from ..streaming.leads import upsert_stream
 from .config import ScoringConfig
 
 SMALL = ScoringConfig().with_lexicon(
@@ -262,4 +265,18 @@ def q_last_seen(spark, d):
     return rows.withColumn("place", F.row_number().over(order).cast("long")).filter("place <= 5")
 
 
+def q_stream_upsert(spark, d):
+    """Events as a file stream of lead rows, upserted batch by batch: the state after all of them."""
+    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sitesift-")
+    base = f"{shared}/stream-{uuid.uuid4().hex}"
+    fields = spark.read.parquet(f"{d}/events.parquet").schema
+    stream = spark.readStream.schema(fields).option("maxFilesPerTrigger", 1).parquet(f"{d}/event[s].parquet")
+    email = F.when(F.col("event_type") == "click", F.concat("event_type", F.col("event_id").cast("string"))).otherwise("")
+    user = F.col("user_id").cast("string")
+    rows = stream.select(user.alias("domain"), leads.lead_id(user).alias("lead_id"), email.alias("email"), F.lit("").alias("phone"), F.col("event_id").cast("string").alias("discovered_at"), F.col("event_id").alias("seq"))
+    target = Snapshot(spark, f"{base}/leads", "domain string, lead_id string, email string, phone string, discovered_at string")
+    upsert_stream(rows, target, f"{base}/check", "domain", "seq").awaitTermination()
+    return target.read()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: f for n, f in list(globals().items()) if n.startswith("q_")}
