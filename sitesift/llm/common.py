@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,8 +17,23 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 
+def bound_batches(spark: SparkSession, rows: int = 1500) -> None:
+    """Whole texts go to Python in batches of at most `rows`, so that neither side holds many long ones at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
+def release() -> None:
+    """Gives what a finished batch of texts held back to the machine: a Python worker outlives its tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """One table of the data folder, with only the columns that are asked for."""
+    bound_batches(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
@@ -33,6 +50,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: what follows neither recomputes it nor loses it with an executor."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

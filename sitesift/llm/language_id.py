@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, slices
+from .common import bound_batches, flat, release, slices
 
 UNKNOWN = "und"
 
@@ -152,6 +152,7 @@ def fit(docs: DataFrame, allowed: Column, per_language: int = 600, piece: int =
 
     Only the sample comes to the driver: languages x per_language x piece characters, about.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.filter(allowed & F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}  # a row for each language
     if not counts:
@@ -219,5 +220,6 @@ def kept_languages(docs: DataFrame, model: Model | None, least: float = 0.3, tex
             lang, score = predict(held.value, batch.column(place), letters)
             keep = pa.array((np.array(lang, object) != UNKNOWN) & (score >= least))
             yield pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns[:-1]], names=schema.names)
+        release()
 
     return marked.mapInArrow(run, schema)

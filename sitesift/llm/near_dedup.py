@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import among, flat, materialise, mixed, slices
+from .common import among, flat, materialise, mixed, release, slices
 from .components import components
 
 WORDS, REGISTERS, ROWS = 5, 160, 5
@@ -123,6 +123,7 @@ def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array([r.tobytes() for r in regs], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.reshape(-1)))],
                 names=["doc_id", "n", "digest", "regs", "bands"],
             )
+    release()
 
 
 def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,6 +166,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             good[i] = 100 * common >= PER_CENT * (len(x) + len(y) - common)
         keep = pa.array(good)
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+    release()
 
 
 def common_counts(sets: list[np.ndarray], dense: int = 48) -> np.ndarray:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, flat, materialise, mixed, slices
+from .common import BROADCAST_ROWS, flat, materialise, mixed, release, slices
 
 LENGTH, GRAM = 400, 32
 #: A run of window starts is cut after so many.
@@ -202,6 +202,7 @@ def _key_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             owner, key, first, last, weight = runs(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             rows = pa.array(owner + lo)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(key), pa.array(first.astype(np.int32)), pa.array((last - first).astype(np.int32)), pa.array(weight.astype(np.int32))], names=["id", "hash", "key", "first", "more", "weight"])
+    release()
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +244,7 @@ def _solve(rows: list[tuple[bytes, bytes, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(out_digest, pa.binary()), lists], names=["digest", "ranges"])
 
 
-def _expand(batches: Iterator[pa.RecordBatch], limit: int = 1_500_000) -> Iterator[pa.RecordBatch]:
+def _expand(batches: Iterator[pa.RecordBatch], limit: int = 800_000) -> Iterator[pa.RecordBatch]:
     """Rows sorted by unit: whole units are gathered up to about `limit` bytes, and one transform serves them all."""
     held: list[tuple[bytes, bytes, int]] = []
     size, unit, mine = 0, None, 0
@@ -258,6 +259,7 @@ def _expand(batches: Iterator[pa.RecordBatch], limit: int = 1_500_000) -> Iterat
             size += len(row[2])
     if held:
         yield _solve(_distinct(held))
+    release()
 
 
 def _distinct(rows: list[tuple[bytes, bytes, int]]) -> list[tuple[bytes, bytes, int]]:
