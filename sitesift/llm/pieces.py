@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import flat, mixed
+from .common import bound_batches, flat, mixed, release
 
 MODEL = os.environ.get("SITESIFT_TOKENIZERS", "/opt/tokenizers") + "/piece_bpe_32k.model"
 MARK = "▁"
@@ -50,7 +51,7 @@ def _char_codes(points: np.ndarray) -> np.ndarray:
 class Pieces:
     """One model's vocabulary, with the tables that encoding needs."""
 
-    def __init__(self, path: str, remember_words: int = 400_000, remember_pairs: int = 4_000_000):
+    def __init__(self, path: str, remember_words: int = 150_000, remember_pairs: int = 1_000_000):
         from sentencepiece import sentencepiece_model_pb2 as proto
 
         model = proto.ModelProto()
@@ -83,18 +84,30 @@ class Pieces:
             self.hash[i], self.length[i] = (codes * self.powers[len(t) - 1 :: -1][: len(t)]).sum(dtype=np.uint64), len(t)
         by = order[np.argsort(self.hash[order])]
         self.keys, self.key_ids = self.hash[by], by.astype(np.int64)
+        self.bucket = np.searchsorted((self.keys >> np.uint64(48)).astype(np.int64), np.arange((1 << 16) + 1))
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces have one hash")
         self._split()
         self.pairs = self.new_pairs = _NO_PAIRS
         self.bigrams = {t[k : k + 2] for t in self.ids for k in range(len(t) - 1)}
-        self.words: dict[str, np.ndarray] = {}
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.most_words, self.most_pairs = remember_words, remember_pairs
 
     def probe(self, h: np.ndarray) -> np.ndarray:
-        """Piece ids of substring hashes; -1 for none."""
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[at] == h, self.key_ids[at], -1)
+        """Piece ids of substring hashes; -1 for none. The first 16 bits of a hash give its short range of the sorted keys."""
+        bucket = (h >> np.uint64(48)).astype(np.int64)
+        at = self.bucket[bucket]
+        out = np.full(len(h), -1, np.int64)
+        who = np.flatnonzero(at < self.bucket[bucket + 1])
+        at, end, h = at[who], self.bucket[bucket[who] + 1], h[who]
+        while len(who):
+            found = self.keys[at] == h
+            out[who[found]] = self.key_ids[at[found]]
+            at = at + 1
+            more = ~found & (at < end)
+            who, at, end, h = who[more], at[more], end[more], h[more]
+        return out
 
     def _split(self) -> None:
         """The two pieces whose merge forms each piece last, by merging its characters."""
@@ -161,8 +174,8 @@ class Pieces:
                 self.pairs, self.new_pairs = self.new_pairs if full else _merged(self.pairs, self.new_pairs), _NO_PAIRS
         return out
 
-    def viterbi(self, points: np.ndarray) -> list[np.ndarray]:
-        """points: words x characters, all of one length. Each word's ids."""
+    def viterbi(self, points: np.ndarray) -> list[bytes]:
+        """points: words x characters, all of one length. Each word's ids, as the bytes of int32."""
         words, n = points.shape
         codes = _char_codes(points)
         # hashes of all substrings that end at a place come from those that end one before
@@ -184,20 +197,26 @@ class Pieces:
                 of = who[good & (size == k)]
                 score[of], best[of], width[of] = 1, found[k, of], k + 1
             last[:, i], step[:, i] = best, width
-        at, ids = np.full(words, n), [[] for _ in range(words)]
-        live = np.arange(words)
+        at, live = np.full(words, n), np.arange(words)
+        whose, which, ends = [], [], []
         while len(live):
-            for w, p, end in zip(live.tolist(), last[live, at[live]].tolist(), at[live].tolist(), strict=True):
-                ids[w].append(p if p >= 0 else -1 - int(points[w, end - 1]))
-            at[live] -= step[live, at[live]]
+            here = at[live]
+            whose.append(live)
+            which.append(last[live, here])
+            ends.append(here)
+            at[live] -= step[live, here]
             live = live[at[live] > 0]
-        return [self._plain(x[::-1]) for x in ids]
-
-    def _plain(self, ids: list[int]) -> np.ndarray:
-        """Ids with characters that have no piece (negative) as bytes."""
-        if min(ids) >= 0:
-            return np.array(ids, np.int32)
-        return np.array([j for i in ids for j in ([i] if i >= 0 else self.byte[list(chr(-1 - i).encode())].tolist())], np.int32)
+        whose, which, ends = map(np.concatenate, (whose, which, ends))
+        order = np.argsort(whose * (n + 1) + ends)
+        whose, which, ends = whose[order], which[order], ends[order]
+        bounds = np.searchsorted(whose, np.arange(words + 1)).tolist()
+        plain = which.astype(np.int32).tobytes()
+        out = [plain[4 * a : 4 * b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        for w in np.unique(whose[which < 0]).tolist():  # characters without a piece become bytes
+            a, b = bounds[w], bounds[w + 1]
+            ids = [j for p, end in zip(which[a:b].tolist(), ends[a:b].tolist(), strict=True) for j in ([p] if p >= 0 else self.byte[list(chr(points[w, end - 1]).encode())].tolist())]
+            out[w] = np.array(ids, np.int32).tobytes()
+        return out
 
     def _run(self, count: int) -> list[int]:
         """A run of marks: the longest pieces first, from the left."""
@@ -228,14 +247,14 @@ class Pieces:
                 self.words.update(zip(part, self.viterbi(points), strict=True))
         for p, parts in cut.items():
             if len(parts) > 1:
-                self.words[p] = np.concatenate([self.words[x] for x in parts])
+                self.words[p] = b"".join(self.words[x] for x in parts)
         mark = self.ids.get(MARK, -1)
         for w, p in plain.items():
             if w != p:  # further marks in front
                 extra = len(w) - len(p)
-                ids = self.words[p] if p else np.zeros(0, np.int32)
+                ids = np.frombuffer(self.words[p] if p else b"", np.int32)
                 alone = len(ids) > 0 and ids[0] == mark and len(p) > 1
-                self.words[w] = np.array([*self._run(extra + alone), *ids[int(alone) :]], np.int32)
+                self.words[w] = np.array([*self._run(extra + alone), *ids[int(alone) :]], np.int32).tobytes()
 
     def units(self, text: str) -> list[str]:
         """The words of a text, each with the marks before it; a line end is a word of its own."""
@@ -246,6 +265,9 @@ class Pieces:
             parts = line.split(MARK)
             if parts[0]:
                 out.append(parts[0])
+            if "" not in parts[1:]:
+                out += [MARK + p for p in parts[1:]]
+                continue
             marks = 0
             for p in parts[1:]:
                 marks += 1
@@ -258,12 +280,18 @@ class Pieces:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [self.units(t) if t else [] for t in texts]
-        if len(self.words) > self.most_words:
-            self.words.clear()
-        distinct = set(chain.from_iterable(split))
-        self.learn([w for w in distinct if w not in self.words])
+        if len(self.words) > self.most_words:  # words not met again while as many others were learned are forgotten
+            self.words, self.older = {}, self.words
+        missing = set(chain.from_iterable(split)) - self.words.keys()
+        again = missing & self.older.keys()
+        self.words.update((w, self.older[w]) for w in again)
+        self.learn(list(missing - again))
         get = self.words.__getitem__
-        return [np.concatenate(list(map(get, u))) if u else np.zeros(0, np.int32) for u in split]
+        return [np.frombuffer(b"".join(map(get, u)), np.int32) for u in split]
+
+    def forget(self) -> None:
+        """Drops the older words, between tasks."""
+        self.older = {}
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The UTF-8 bytes of a text's ids, without the mark put in front."""
@@ -285,9 +313,10 @@ def pieces(path: str = MODEL) -> Pieces:
 
 def encode(docs: DataFrame, text: str = "text", model: str = MODEL, chunk: int = 1 << 20) -> DataFrame:
     """docs with ids (array<int>) in place of the text column, then n_tokens and round_trip: whether decoding gives the text again."""
+    bound_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c != text]
     inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)], F.col(f"`{text}`").alias("t"))
-    schema = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)], F.array().cast("array<int>").alias("ids"), F.lit(0).cast("long").alias("n_tokens"), F.lit(True).alias("round_trip")).schema
+    schema = T.StructType([*inner.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("round_trip", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = pieces(model)
@@ -306,13 +335,15 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, chunk: int =
                 none = pa.array([t is None for t in texts])
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)), mask=none)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids, pa.array(counts, mask=np.array([t is None for t in texts])), pa.array(same, pa.bool_())], names=schema.names)
+        held.forget()
+        release()
 
     return inner.mapInArrow(run, schema).toDF(*rest, "ids", "n_tokens", "round_trip")
 
 
 def decode(docs: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFrame:
     """docs with text after its own columns; bytes that are no UTF-8 become U+FFFD."""
-    schema = docs.select("*", F.lit("").alias("text")).schema
+    schema = T.StructType([*docs.schema.fields, T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = pieces(model)
