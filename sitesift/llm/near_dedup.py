@@ -26,6 +26,7 @@ from .common import among, flat, materialise, mixed, release, slices
 from .components import components
 
 WORDS, REGISTERS, ROWS = 5, 160, 5
+#: Similarity that links, unless a caller gives another.
 PER_CENT = 85
 SMALL, BLOCK = 64, 1024
 _MANTISSA = 10
@@ -134,36 +135,36 @@ def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rid", "set"])
 
 
-def worth_checking(size_a: np.ndarray, size_b: np.ndarray, agree: np.ndarray, deviations: float = 5.0) -> np.ndarray:
+def worth_checking(size_a: np.ndarray, size_b: np.ndarray, agree: np.ndarray, deviations: float = 5.0, per_cent: int = PER_CENT) -> np.ndarray:
     """Whether sizes allow the threshold and the corrected estimate is within some standard deviations of it.
 
     Small sets fill few registers, so their estimates deviate more.
     """
-    t = PER_CENT / 100
+    t = per_cent / 100
     small, large = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
     estimate = (agree / REGISTERS - COLLISION) / (1 - COLLISION)
     independent = REGISTERS * (1 - (1 - 1 / REGISTERS) ** small)
-    return (100 * small >= PER_CENT * large) & (estimate >= t - deviations * np.sqrt(t * (1 - t) / np.maximum(independent, 1)))
+    return (100 * small >= per_cent * large) & (estimate >= t - deviations * np.sqrt(t * (1 - t) / np.maximum(independent, 1)))
 
 
-def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _estimate(batches: Iterator[pa.RecordBatch], per_cent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
         a, b, size_a, size_b = (batch.column(k).to_numpy() for k in range(4))
         left, right = (flat(batch.column(k))[0].view(np.uint16).reshape(-1, REGISTERS) for k in (4, 5))
-        good = worth_checking(size_a, size_b, (left == right).sum(axis=1))
+        good = worth_checking(size_a, size_b, (left == right).sum(axis=1), per_cent=per_cent)
         yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], names=["a", "b"])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm(batches: Iterator[pa.RecordBatch], per_cent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         left, right = (batch.column(k).to_pylist() for k in (2, 3))
         good = np.zeros(batch.num_rows, bool)
         for i, (x, y) in enumerate(zip(left, right, strict=True)):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             common = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
-            good[i] = 100 * common >= PER_CENT * (len(x) + len(y) - common)
+            good[i] = 100 * common >= per_cent * (len(x) + len(y) - common)
         keep = pa.array(good)
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
     release()
@@ -198,11 +199,11 @@ def common_counts(sets: list[np.ndarray], dense: int = 48) -> np.ndarray:
     return np.maximum(out, out.T)
 
 
-def spanning_stars(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple[int, int]]:
+def spanning_stars(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None = None, per_cent: int = PER_CENT) -> list[tuple[int, int]]:
     """Links that connect whatever exact similarity connects: a star for each group. side: compare only across sides."""
     sizes = np.array([len(s) for s in sets])
     common = common_counts(sets)
-    linked = 100 * common >= PER_CENT * (sizes[:, None] + sizes[None] - common)
+    linked = 100 * common >= per_cent * (sizes[:, None] + sizes[None] - common)
     if side is not None:
         linked &= side[:, None] != side[None]
     np.fill_diagonal(linked, True)
@@ -216,18 +217,18 @@ def spanning_stars(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray | N
     return [(int(ids[i]), int(ids[label[i]])) for i in range(len(ids)) if ids[i] != ids[label[i]]]
 
 
-def _compare_blocks(table: pa.Table) -> pa.Table:
+def _compare_blocks(table: pa.Table, per_cent: int) -> pa.Table:
     ids, side = table.column("rid").to_numpy(), table.column("side").to_numpy()
     sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
     across = side if len(set(side.tolist())) > 1 else None
     if across is None and table.column("i")[0].as_py() != table.column("j")[0].as_py():
         return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-    pairs = spanning_stars(ids, sets, across)
+    pairs = spanning_stars(ids, sets, across, per_cent)
     return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per input row."""
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", per_cent: int = PER_CENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per input row. Sets with a Jaccard similarity of per_cent or more are linked."""
     plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketches = materialise(plain.mapInArrow(sketch, "doc_id long, n long, digest binary, regs binary, bands array<long>"))
     known = sketches.filter("digest is not null and doc_id is not null")
@@ -242,19 +243,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     sizes = nodes.select("rid", "n", "regs")
     left, right = sizes.toDF("a", "n_a", "regs_a"), sizes.toDF("b", "n_b", "regs_b")
     likely = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "regs_a", "regs_b")
-    likely = materialise(likely.mapInArrow(_estimate, "a long, b long").distinct())
+    likely = materialise(likely.mapInArrow(lambda batches: _estimate(batches, per_cent), "a long, b long").distinct())
 
     many = shared.filter(F.col("k") > SMALL)
     wanted = materialise(likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).unionByName(many.select(F.col("rid").alias("doc_id"))).distinct())
     sets = materialise(among(plain, wanted, "doc_id").mapInArrow(full_sets, "rid long, set binary"))
     close = likely.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
-    links = close.mapInArrow(_confirm, "a long, b long")
+    links = close.mapInArrow(lambda batches: _confirm(batches, per_cent), "a long, b long")
 
     parts = F.ceil(F.col("k") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rid", F.lit(5)), parts).cast("int")
     dealt = many.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     dealt = dealt.select("band", "rid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"))
-    stars = dealt.join(sets, "rid").groupBy("band", "i", "j").applyInArrow(_compare_blocks, "a long, b long")
+    stars = dealt.join(sets, "rid").groupBy("band", "i", "j").applyInArrow(lambda rows: _compare_blocks(rows, per_cent), "a long, b long")
 
     labels = components(links.unionByName(stars))
     labels = labels.groupBy("node").agg(F.min("label").alias("label"))
@@ -264,12 +265,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
-def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", per_cent: int = PER_CENT) -> DataFrame:
     """docs' rows that represent their component: one of each group, rows of one id being one group; rows with a null id stay.
 
     Only the ids of rows that go are joined to the texts.
     """
-    decided = materialise(near_duplicates(docs, text, key).filter("doc_id is not null"))
+    decided = materialise(near_duplicates(docs, text, key, per_cent).filter("doc_id is not null"))
     gone = decided.filter("not kept").select(F.col("doc_id").alias(key)).distinct()
     twice = decided.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(key))
     twice = materialise(twice.join(gone, key, "left_anti"))

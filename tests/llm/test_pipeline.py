@@ -2,7 +2,7 @@ import random
 
 import corpus_pipeline
 import sentencepiece
-from sitesift.llm import pieces
+from sitesift.llm import near_dedup, pieces
 
 from .test_llm import prose
 
@@ -29,3 +29,18 @@ def test_pipeline_on_a_small_corpus(spark, tmp_path):
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     out = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.ids) for r in out) == sorted((r.doc_id, sp.encode(r.text)) for r in mixed)
+
+
+def test_near_copies_from_four_fifths_go(spark):
+    rng = random.Random(21)
+    texts = [prose(rng, 60) for _ in range(6)]
+    for text in texts[:3]:
+        edited = text.split()
+        edited[30] = "changed"  # 51 of 61 shingles in common
+        texts.append(" ".join(edited))
+    edited = texts[3].split()
+    edited[20] = edited[40] = "changed"  # 46 of 66
+    texts.append(" ".join(edited))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.deduplicated(spark, df, "").collect()) == [0, 1, 2, 3, 4, 5, 9]
+    assert near_dedup.near_duplicates(df).filter("kept").count() == len(texts)
