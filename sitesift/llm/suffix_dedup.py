@@ -194,25 +194,25 @@ def repeated_starts(segments: list[bytes], length: int = LENGTH) -> list[np.ndar
 # ---- the distributed part
 
 
-def _key_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _key_runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """(id, hash, text) -> a row for each run."""
     for batch in batches:
         data, offsets = flat(batch.column(2))
         for lo, hi in slices(offsets, 1 << 20):
-            owner, key, first, last, weight = runs(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            owner, key, first, last, weight = runs(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], length)
             rows = pa.array(owner + lo)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(key), pa.array(first.astype(np.int32)), pa.array((last - first).astype(np.int32)), pa.array(weight.astype(np.int32))], names=["id", "hash", "key", "first", "more", "weight"])
     release()
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """(id, hash, text, runs) -> each run's bytes with a digest of them."""
     names = ["key", "digest", "segment", "id", "hash", "first", "weight"]
     for batch in batches:
         data, offsets = flat(batch.column(2))
         for row, found in enumerate(batch.column(3).to_pylist()):
             text = data[offsets[row] : offsets[row + 1]].tobytes()
-            pieces = [text[r["first"] : r["first"] + r["more"] + LENGTH] for r in found]
+            pieces = [text[r["first"] : r["first"] + r["more"] + length] for r in found]
             n = len(found)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r["key"] for r in found], pa.int64()), pa.array([hashlib.blake2b(p, digest_size=16).digest() for p in pieces], pa.binary()), pa.array(pieces, pa.binary()),
@@ -229,12 +229,12 @@ def _ranges(starts: np.ndarray) -> np.ndarray:
     return np.column_stack((starts[np.concatenate(([0], gap + 1))], starts[np.concatenate((gap, [len(starts) - 1]))])).astype(np.int32)
 
 
-def _solve(rows: list[tuple[bytes, bytes, int]]) -> pa.RecordBatch:
+def _solve(rows: list[tuple[bytes, bytes, int]], length: int) -> pa.RecordBatch:
     """Different segments (digest, bytes, copies) of whole keys: the ranges of repeated starts of each."""
-    alone = repeated_starts([r[1] for r in rows])
+    alone = repeated_starts([r[1] for r in rows], length)
     out_digest, out_ranges = [], []
     for (digest, segment, copies), starts in zip(rows, alone, strict=True):
-        found = np.array([[0, len(segment) - LENGTH]], np.int32) if copies > 1 else _ranges(starts)
+        found = np.array([[0, len(segment) - length]], np.int32) if copies > 1 else _ranges(starts)
         if len(found):
             out_digest.append(digest)
             out_ranges.append(found)
@@ -244,7 +244,7 @@ def _solve(rows: list[tuple[bytes, bytes, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(out_digest, pa.binary()), lists], names=["digest", "ranges"])
 
 
-def _expand(batches: Iterator[pa.RecordBatch], limit: int = 800_000) -> Iterator[pa.RecordBatch]:
+def _expand(batches: Iterator[pa.RecordBatch], length: int, limit: int = 800_000) -> Iterator[pa.RecordBatch]:
     """Rows sorted by unit: whole units are gathered up to about `limit` bytes, and one transform serves them all."""
     held: list[tuple[bytes, bytes, int]] = []
     size, unit, mine = 0, None, 0
@@ -252,13 +252,13 @@ def _expand(batches: Iterator[pa.RecordBatch], limit: int = 800_000) -> Iterator
         for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             if row[0] != unit:
                 if size > limit:
-                    yield _solve(_distinct(held))
+                    yield _solve(_distinct(held), length)
                     held, size = [], 0
                 unit = row[0]
             held.append(row[1:])
             size += len(row[2])
     if held:
-        yield _solve(_distinct(held))
+        yield _solve(_distinct(held), length)
     release()
 
 
@@ -267,18 +267,18 @@ def _distinct(rows: list[tuple[bytes, bytes, int]]) -> list[tuple[bytes, bytes,
     return list({r[0]: r for r in rows}.values())
 
 
-def repeated_spans(docs: DataFrame, block: int = 3000) -> DataFrame:
-    """docs: id, hash, text, where id and hash tell rows apart (equal rows may share them). id, hash, spans: arrays of [first, last] repeated starts.
+def repeated_spans(docs: DataFrame, block: int = 3000, *, length: int = LENGTH) -> DataFrame:
+    """docs: id, hash, text, where id and hash tell rows apart (equal rows may share them). id, hash, spans: arrays of [first, last] repeated starts of `length` bytes.
 
     Keys of runs are counted first; only texts with a key that occurs twice are shuffled, to cut their segments. Equal segments become one with a count
     before they meet others. The segments of a key are a unit of work; those of a key with more than `block` different segments are dealt to blocks,
     and each two blocks are a unit, so no unit grows with the data.
     """
-    found = materialise(docs.mapInArrow(_key_runs, "id long, hash long, key long, first int, more int, weight int"))
+    found = materialise(docs.mapInArrow(lambda batches: _key_runs(batches, length), "id long, hash long, key long, first int, more int, weight int"))
     again = found.groupBy("key").agg(F.sum("weight").alias("all")).filter("all > 1").select("key")
     mine = found.join(again, "key").groupBy("id", "hash").agg(F.collect_list(F.struct("key", "first", "more", "weight")).alias("runs"))
     mine = materialise(mine)
-    cut = _with_rows(docs, mine).select("id", "hash", "text", "runs").mapInArrow(_cut, "key long, digest binary, segment binary, id long, hash long, first int, weight int")
+    cut = _with_rows(docs, mine).select("id", "hash", "text", "runs").mapInArrow(lambda batches: _cut(batches, length), "key long, digest binary, segment binary, id long, hash long, first int, weight int")
     cut = materialise(cut)
     different = cut.groupBy("key", "digest", "segment").agg(F.count("*").alias("copies"))
     # a key of weight 1 has nothing to meet
@@ -289,7 +289,7 @@ def repeated_spans(docs: DataFrame, block: int = 3000) -> DataFrame:
     dealt = different.withColumn("parts", parts).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     unit = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
     dealt = dealt.select(unit.alias("unit"), "digest", "segment", "copies").repartition("unit").sortWithinPartitions("unit")
-    solved = dealt.mapInArrow(_expand, "digest binary, ranges array<int>")
+    solved = dealt.mapInArrow(lambda batches: _expand(batches, length), "digest binary, ranges array<int>")
     hits = cut.select("digest", "id", "hash", "first").join(solved, "digest")
     pairs = F.transform(F.sequence(F.lit(0), (F.size("ranges") / 2 - 1).cast("int")), lambda i: F.struct((F.col("first") + F.get("ranges", (i * 2).cast("int"))).alias("a"), (F.col("first") + F.get("ranges", (i * 2 + 1).cast("int"))).alias("b")))
     return hits.select("id", "hash", pairs.alias("p")).groupBy("id", "hash").agg(F.flatten(F.collect_list("p")).alias("spans"))
@@ -323,6 +323,23 @@ def removal(size: int, spans: list[tuple[int, int]], length: int = LENGTH) -> li
     return [(a, b) for a, b in out]
 
 
+def long_spans(raw: bytes, spans: list[tuple[int, int]], length: int, words: int) -> list[tuple[int, int]]:
+    """The spans, those without a gap joined, whose bytes are LENGTH or more, or hold over `words` whole words."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1] + 1:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out if b + length - a >= LENGTH or _whole_words(raw, a, b + length) > words]
+
+
+def _whole_words(raw: bytes, begin: int, end: int) -> int:
+    cut_before = begin > 0 and not raw[begin - 1 : begin].isspace() and not raw[begin : begin + 1].isspace()
+    cut_after = end < len(raw) and not raw[end - 1 : end].isspace() and not raw[end : end + 1].isspace()
+    return max(len(raw[begin:end].split()) - cut_before - cut_after, 0)
+
+
 def _keyed(docs: DataFrame, text: str, key: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(key), F.col(text)).alias("hash"), F.col(text).alias("text"))
 
@@ -356,15 +373,17 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     return hit.unionByName(rest)
 
 
-def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs with repeated strings cut from their texts, n_chars counted anew; a text that loses all is dropped.
+def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, words: int | None = None) -> DataFrame:
+    """docs with repeated strings of `length` bytes cut from their texts, n_chars counted anew; a text that loses all is dropped.
+
+    With `words`, strings under LENGTH bytes go only if they hold more than so many whole words.
 
     Characters that lose some of their bytes go whole. Columns are docs' own, in order.
     """
     columns = docs.columns
     row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
     plain = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(key), F.col(text)).alias("hash"), F.col(text).alias("text"), row)
-    spans = materialise(repeated_spans(plain.select("id", "hash", "text")))
+    spans = materialise(repeated_spans(plain.select("id", "hash", "text"), length=length))
     schema, at = docs.schema, columns.index(text)
     size = columns.index("n_chars") if "n_chars" in columns else -1
 
@@ -373,7 +392,8 @@ def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
             rows, texts = batch.column(0), []
             for t, found in zip(rows.field(at).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = (t or "").encode()
-                gone = removal(len(raw), [(s["a"], s["b"]) for s in found])
+                pairs = [(s["a"], s["b"]) for s in found]
+                gone = removal(len(raw), pairs if words is None else long_spans(raw, pairs, length, words), length)
                 edges = [0, *(x for g in gone for x in g), len(raw)]
                 texts.append("".join(raw[a:b].decode("utf-8", "ignore") for a, b in zip(edges[::2], edges[1::2], strict=True)))
             arrays = [rows.field(k) for k in range(len(schema))]

@@ -2,7 +2,7 @@ import random
 
 import corpus_pipeline
 import sentencepiece
-from sitesift.llm import near_dedup, pieces
+from sitesift.llm import near_dedup, pieces, suffix_dedup
 
 from .test_llm import prose
 
@@ -44,3 +44,21 @@ def test_near_copies_from_four_fifths_go(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.deduplicated(spark, df, "").collect()) == [0, 1, 2, 3, 4, 5, 9]
     assert near_dedup.near_duplicates(df).filter("kept").count() == len(texts)
+
+
+def test_passages_of_over_fifty_words_go(spark):
+    rng = random.Random(22)
+    alone = [prose(rng, 40) for _ in range(6)]
+    long, short, tiny = " ".join(prose(rng, 200).split()[:51]), " ".join(prose(rng, 200).split()[:49]), " ".join(rng.choice("abcdefghij") for _ in range(51))
+    assert max(len(long.encode()), len(short.encode())) < 400 and len(tiny) == 101
+    texts = [f"x{i} {alone[i]} {(long, short, tiny)[i // 2]} y{i}" for i in range(6)]
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.without_repeats(spark, df, "").collect()}
+    # bytes beside a passage that happen to be equal too go with it
+    assert all(got[i].startswith(f"x{i} {alone[i]}"[:-12]) and got[i].endswith(str(i)) for i in range(6))
+    assert all(long not in got[i] and tiny not in got[i] for i in got) and [got[i] for i in (2, 3)] == texts[2:4]
+
+
+def test_whole_words_are_counted():
+    raw = b"one two  three four"
+    assert [suffix_dedup._whole_words(raw, a, b) for a, b in ((0, 19), (1, 19), (3, 19), (0, 18), (4, 8), (7, 9), (5, 6))] == [4, 3, 3, 3, 1, 0, 0]
