@@ -44,9 +44,9 @@ REACH, NEAR = 4, 2
 TARGETED, NEGATED, REPORTED, THREAT = 1.5, 0.4, 0.6, 3.0
 LEAST_STEM, MOST_STEM = 4, 10
 
-_ASCII = bytes(c if c >= 128 or chr(c).isalpha() or c == 39 else 32 for c in range(256)).lower()
+_OTHER = re.compile(r"[\W\d_]")
 _CLAUSE_END = re.compile(r"[.!?;\n]")
-_TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“”«»„]")
+_TOKEN = re.compile(r"[^\W\d_]*[nN]'[tT](?![^\W\d_])|[^\W\d_]+|[\"“”«»„]")
 _QUOTES = frozenset("\"“”«»„")
 
 
@@ -63,11 +63,11 @@ class Grammar:
         return {**self.__dict__, "_automaton": None}
 
     def automaton(self):
-        """Finds " stem" and " harm" in a text whose non-letters are spaces, as Latin-1 of its UTF-8."""
+        """Finds " stem" and " harm" in a text in lower case whose non-letters are spaces."""
         if self._automaton is None:
             a = ahocorasick.Automaton()
             for word in (*self.stems, *HARMS):
-                key = (" " + word).encode().decode("latin-1")
+                key = " " + word
                 a.add_word(key, len(key) - 1)
             a.make_automaton()
             self._automaton = a
@@ -110,26 +110,21 @@ class Grammar:
         return emitted
 
     def features(self, text: str) -> tuple[float, float, float] | None:
-        raw = text.encode()
-        if not text.isascii():
-            raw_lower = text.lower().encode()
-            same = len(raw_lower) == len(raw)
-            plain = raw_lower if same else raw
-        else:
-            plain = raw
-        plain = b" " + plain.translate(_ASCII)
-        hits = [end for end, _ in self.automaton().iter(plain.decode("latin-1"))]
+        plain = " " + _OTHER.sub(" ", text).lower()
+        hits = [end for end, _ in self.automaton().iter(plain)]
         if not hits:
             return None
+        if len(plain) != len(text) + 1:  # letters that are longer in lower case
+            place = [0, *(i for i, c in enumerate(text, 1) for _ in (c.lower() if c.isalpha() else " "))]
+            hits = [place[end] for end in hits]
         scores, done = [], -1
         for end in hits:
             if end - 1 < done:
                 continue
-            # clause bounds in bytes: ends are ASCII
-            lo = max(raw.rfind(c, 0, max(end - 1, 0)) for c in (b".", b"!", b"?", b";", b"\n")) + 1
-            ends = [p for c in (b".", b"!", b"?", b";", b"\n") if (p := raw.find(c, end - 1)) >= 0]
-            done = min(ends, default=len(raw))
-            scores.append(self.clause(raw[lo:done].decode("utf-8", "replace")))
+            lo = max(text.rfind(c, 0, max(end - 1, 0)) for c in ".!?;\n") + 1
+            ends = [p for c in ".!?;\n" if (p := text.find(c, end - 1)) >= 0]
+            done = min(ends, default=len(text))
+            scores.append(self.clause(text[lo:done]))
         scores = [s for s in scores if s > 0]
         return (max(scores), math.log1p(sum(scores)), math.log1p(len(scores))) if scores else None
 

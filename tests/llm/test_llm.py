@@ -94,6 +94,16 @@ def test_toxicity_grammar():
     assert g.score(None) == g.score("") == g.score("clean text") < g.score("You IDIOT!") and g.score("x. you idiotic! y") > g.score("y")
 
 
+def test_toxicity_prefilter_misses_no_clause():
+    g = toxicity.Grammar({"idiot": 3.0, "straß": 2.0}, (1.0, 0.5, 0.0), -3.0)
+    for before in ("¡", "«", "“", "—", "\u00a0", "'", "’", "d'", "l'", "L’", "¿", "_", "7", "İİ. İ "):
+        text = f"Bien. {before}Idiota, you aren't; {before}straße and I will {before}kill you!"
+        scores = [s for c in toxicity._CLAUSE_END.split(text) if (s := g.clause(c)) > 0]
+        assert len(scores) == 2, before
+        assert g.features(text) == pytest.approx((max(scores), np.log1p(sum(scores)), np.log1p(len(scores)))), before
+    assert [t[0] for t in toxicity._TOKEN.finditer("isn't l'idiot DON'T")] == ["isn't", "l", "idiot", "DON'T"]
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(5)
     rows, labels = [], []
