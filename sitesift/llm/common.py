@@ -13,8 +13,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a side may have to be broadcast; with more, the same join shuffles.
-BROADCAST_ROWS = 500_000
+#: Bytes that a side may have to be broadcast, by its columns' widths; with more, the same join shuffles.
+BROADCAST_BYTES = 16_000_000
+_WIDTH = {"bigint": 8, "double": 8, "int": 4, "boolean": 1}
 
 
 def bound_batches(spark: SparkSession, rows: int = 1500) -> None:
@@ -39,27 +40,69 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only if none is set (tests)."""
+    """The folder that driver and executors share; a folder of this machine only if none is set and all runs on this machine (tests)."""
     where = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="sitesift-")
         spark.sparkContext.setCheckpointDir(where)
     return where
 
 
+def _path(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: what follows neither recomputes it nor loses it with an executor."""
+    """Writes df as a table in the shared folder and reads it back: what follows neither recomputes it nor loses it with an executor.
+
+    The folder goes with `discard`, at the latest when the driver ends.
+    """
     spark = df.sparkSession
     bound_batches(spark)
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def among(df: DataFrame, keys: DataFrame, on: str, limit: int = BROADCAST_ROWS, how: str = "left_semi") -> DataFrame:
-    """df's rows whose `on` is in keys (distinct, materialised), or is not (left_anti): a broadcast up to `limit` keys, a shuffled join beyond."""
-    small = keys.limit(limit + 1).count() <= limit
-    return df.join(F.broadcast(keys) if small else keys, on, how)
+    folder = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    fs, path = _path(spark, folder)
+    fs.deleteOnExit(path)
+    df.write.parquet(folder)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out._folder = folder
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes materialised tables; whatever reads them has to be materialised itself by now."""
+    for df in tables:
+        fs, path = _path(df.sparkSession, df._folder)
+        fs.delete(path, True)
+
+
+def fits(df: DataFrame) -> bool:
+    """Whether a table of fixed-width columns is within BROADCAST_BYTES; strings and binaries count 32 bytes (ids, digests)."""
+    width = 16 + sum(_WIDTH.get(kind, 32) for _, kind in df.dtypes)
+    limit = BROADCAST_BYTES // width
+    return df.limit(limit + 1).count() <= limit
+
+
+def among(df: DataFrame, keys: DataFrame, on: str | list[str], how: str = "left_semi") -> DataFrame:
+    """df's rows whose `on` is in keys (materialised), or is not (left_anti): a broadcast while the keys fit, a shuffled join beyond."""
+    return df.join(F.broadcast(keys) if fits(keys) else keys, on, how)
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: str, times: str, total: int) -> DataFrame:
+    """left joined to right, which has one row for each `on` and in `times` how many of left's `total` rows have it.
+
+    Keys with more than a hundred-thousandth of all rows (and 1,000 rows) are at most 100,000; they are broadcast, so that no task gathers
+    their rows. The other keys meet by a shuffle. left is read twice if there are hot keys.
+    """
+    bound = max(1000, total // 100_000)
+    hot = right.filter(F.col(times) > bound).drop(times)
+    if hot.isEmpty():
+        return left.join(right.drop(times), on)
+    few = left.join(F.broadcast(hot), on)
+    rest = left.join(F.broadcast(hot.select(on)), on, "left_anti").join(right.filter(F.col(times) <= bound).drop(times), on)
+    return few.unionByName(rest)
 
 
 def remainder(column: str, modulus: int) -> Column:
