@@ -4,12 +4,14 @@ A document's set is its distinct shingles of `WORDS` words. Each shingle's hash
 least value as leading-zero count and mantissa bits (16 bits). Empty registers borrow from others by a fixed sequence of places. Bands of registers find
 candidates; a collision-corrected estimate of the Jaccard similarity drops those far below the threshold; full sets confirm the rest.
 
-Equal sets are one node from the start. Buckets of up to `SMALL` nodes give pairs, at most SMALL / 2 for each member. Larger buckets are
-never written out as pairs: their sets are dealt to blocks, and each two blocks are compared exactly inside a task by
-counting common shingles, which emits a spanning star for each group found. Components come from star contraction.
-
-Defined results: null text and text without words have an empty set and link with nothing; texts with fewer than WORDS words have their word sequence as one shingle; rows that
-share an id are one node; rows with a null id link with nothing; the smallest id represents a component; an empty table gives an empty result.
+Equal sets are one node from the start. All members of a band's bucket, whatever its size, meet its least member first: that is one pair each. Links
+found so join nodes to components, and only members that are not in the least member's component are compared further, with members of other
+components: they are dealt to blocks, and two blocks meet in a task, which estimates, then counts common shingles, and emits a spanning forest of
+what it links. So no bucket is written out as pairs, and groups of copies cost a pair a member.
+
+Defined results: null text and text without words have an empty set and link with nothing; texts with fewer than WORDS words have their word sequence as one shingle; rows with a
+null id link with nothing; rows that share an id and a text are one, and rows that share an id but no text may be linked through it; the smallest id
+represents a component; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -22,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import among, flat, materialise, mixed, release, slices
+from .common import among, discard, fits, flat, join_hot, materialise, mixed, release, slices
 from .components import components
 
 WORDS, REGISTERS, ROWS = 5, 160, 5
 #: Similarity that links, unless a caller gives another.
 PER_CENT = 85
-SMALL, BLOCK = 64, 1024
+#: Members of a block, and pairs of one least member in a task.
+BLOCK, SHARE = 512, 256
 _MANTISSA = 10
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -151,10 +154,10 @@ def _estimate(batches: Iterator[pa.RecordBatch], per_cent: int) -> Iterator[pa.R
     for batch in batches:
         if not batch.num_rows:
             continue
-        a, b, size_a, size_b = (batch.column(k).to_numpy() for k in range(4))
-        left, right = (flat(batch.column(k))[0].view(np.uint16).reshape(-1, REGISTERS) for k in (4, 5))
+        a, b, part, size_a, size_b = (batch.column(k).to_numpy() for k in range(5))
+        left, right = (flat(batch.column(k))[0].view(np.uint16).reshape(-1, REGISTERS) for k in (5, 6))
         good = worth_checking(size_a, size_b, (left == right).sum(axis=1), per_cent=per_cent)
-        yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[good]) for x in (a, b, part)], names=["a", "b", "part"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], per_cent: int) -> Iterator[pa.RecordBatch]:
@@ -199,70 +202,140 @@ def common_counts(sets: list[np.ndarray], dense: int = 48) -> np.ndarray:
     return np.maximum(out, out.T)
 
 
-def spanning_stars(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None = None, per_cent: int = PER_CENT) -> list[tuple[int, int]]:
-    """Links that connect whatever exact similarity connects: a star for each group. side: compare only across sides."""
-    sizes = np.array([len(s) for s in sets])
-    common = common_counts(sets)
-    linked = 100 * common >= per_cent * (sizes[:, None] + sizes[None] - common)
-    if side is not None:
-        linked &= side[:, None] != side[None]
-    np.fill_diagonal(linked, True)
-    label = np.arange(len(ids))
-    while True:
-        least = np.where(linked, label[None], len(ids)).min(axis=1)
-        least = np.minimum(least, least[least])
-        if (least == label).all():
-            break
-        label = least
-    return [(int(ids[i]), int(ids[label[i]])) for i in range(len(ids)) if ids[i] != ids[label[i]]]
+def _agreements(left: np.ndarray, right: np.ndarray, step: int = 32) -> np.ndarray:
+    """In how many registers each row of left and each of right agree."""
+    out = np.empty((len(left), len(right)), np.int64)
+    for lo in range(0, len(left), step):
+        out[lo : lo + step] = (left[lo : lo + step, None] == right[None]).sum(axis=2)
+    return out
+
+
+def joining_links(label: np.ndarray, sizes: np.ndarray, regs: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, per_cent: int = PER_CENT) -> list[tuple[int, int]]:
+    """Pairs of labels that similar sets link, as a spanning forest. left, right: places of the sets to compare across."""
+    if not len(left) or not len(right):
+        return []
+    likely = worth_checking(sizes[left][:, None], sizes[right][None], _agreements(regs[left], regs[right]), per_cent=per_cent) & (label[left][:, None] != label[right][None])
+    if not likely.any():
+        return []
+    rows, columns = left[likely.any(axis=1)], right[likely.any(axis=0)]
+    likely = likely[likely.any(axis=1)][:, likely.any(axis=0)]
+    every, place = np.unique(np.concatenate((rows, columns)), return_inverse=True)
+    common = common_counts([sets[k] for k in every.tolist()])[place[: len(rows)]][:, place[len(rows) :]]
+    i, j = np.nonzero(likely & (100 * common >= per_cent * (sizes[rows][:, None] + sizes[columns][None] - common)))
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    for a, b in np.unique(np.column_stack((label[rows[i]], label[columns[j]])), axis=0).tolist():
+        if root(a) != root(b):
+            parent[root(a)] = root(b)
+            out.append((a, b))
+    return out
 
 
 def _compare_blocks(table: pa.Table, per_cent: int) -> pa.Table:
-    ids, side = table.column("rid").to_numpy(), table.column("side").to_numpy()
+    """Rows of two blocks (label, n, regs, set, asks): those that ask meet the others."""
+    label, sizes, asks = (table.column(c).to_numpy() for c in ("label", "n", "asks"))
+    regs = flat(table.column("regs"))[0].view(np.uint16).reshape(-1, REGISTERS)
     sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
-    across = side if len(set(side.tolist())) > 1 else None
-    if across is None and table.column("i")[0].as_py() != table.column("j")[0].as_py():
-        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-    pairs = spanning_stars(ids, sets, across, per_cent)
+    pairs = joining_links(label, sizes, regs, sets, np.flatnonzero(asks == 1), np.flatnonzero(asks == 0), per_cent)
     return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
 
+def _sets(plain: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rid, set of the wanted nodes (doc_id)."""
+    held = materialise(wanted.distinct())
+    out = materialise(among(plain, held, "doc_id").mapInArrow(full_sets, "rid long, set binary"))
+    if out.count() > held.count():  # ids that repeat
+        once = materialise(out.distinct())
+        discard(out)
+        out = once
+    discard(held)
+    return out
+
+
+def _star_links(shared: DataFrame, nodes: DataFrame, plain: DataFrame, per_cent: int) -> DataFrame:
+    """a, b: bucket members (rid) that are similar to the bucket's least (hub). The pairs of a hub are dealt to tasks, with its set in each."""
+    pairs = materialise(shared.filter("rid <> hub").select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct())
+    hubs = materialise(pairs.groupBy("a").agg(F.count("*").alias("times")).withColumn("parts", F.ceil(F.col("times") / SHARE).cast("int")))
+    dealt = join_hot(pairs, hubs, "a", "times", pairs.count()).withColumn("part", F.pmod(F.xxhash64("b"), "parts").cast("int")).drop("parts")
+
+    def at_hubs(rows: DataFrame) -> DataFrame:
+        return rows.join(hubs.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")), "a")
+
+    left, right = (nodes.select(F.col("rid").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}")) for x in "ab")
+    near = dealt.join(right, "b").join(at_hubs(left), ["a", "part"]).select("a", "b", "part", "n_a", "n_b", "regs_a", "regs_b")
+    likely = materialise(near.mapInArrow(lambda batches: _estimate(batches, per_cent), "a long, b long, part int"))
+    sets = _sets(plain, likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))))
+    close = likely.join(sets.toDF("b", "set_b"), "b").join(at_hubs(sets.toDF("a", "set_a")), ["a", "part"]).select("a", "b", "set_a", "set_b")
+    links = materialise(close.mapInArrow(lambda batches: _confirm(batches, per_cent), "a long, b long"))
+    discard(pairs, hubs, likely, sets)
+    return links
+
+
+def _further_links(shared: DataFrame, labels: DataFrame, nodes: DataFrame, plain: DataFrame, per_cent: int) -> DataFrame:
+    """a, b: labels that similar members of one bucket link, among those which the least members left in different components."""
+    named = labels.select(F.col("node").alias("rid"), "label")
+    labelled = shared.join(F.broadcast(named) if fits(named) else named, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
+    labelled = materialise(labelled.select("band", "rid", "label"))
+    of = labelled.groupBy("band").agg(
+        F.count("*").alias("k"), F.min_by("label", "rid").alias("first"), F.min("label").alias("lo"), F.max("label").alias("hi"),
+        F.bit_xor(F.xxhash64("rid")).alias("x"), F.bit_xor(F.xxhash64("rid", F.lit(7))).alias("y"),
+    )
+    # a bucket of two is done; equal buckets are taken once
+    left = of.filter("lo <> hi and k > 2").groupBy("k", "x", "y").agg(F.min_by(F.struct("band", "first"), "band").alias("b"))
+    left = materialise(left.select("b.band", "b.first", "k"))
+    if left.isEmpty():
+        discard(labelled, left)
+        return materialise(labels.limit(0).toDF("a", "b"))
+    members = materialise(labelled.join(F.broadcast(left) if fits(left) else left, "band").withColumn("asks", F.col("label") != F.col("first")))
+    asking = members.groupBy("band").agg(F.count_if("asks").alias("r"))
+    parts = left.join(asking, "band").select("band", F.ceil(F.col("r") / BLOCK).cast("int").alias("rows"), F.ceil(F.col("k") / BLOCK).cast("int").alias("columns"))
+    parts = materialise(parts)
+    dealt = members.join(F.broadcast(parts) if fits(parts) else parts, "band")
+    place = lambda n: F.pmod(F.xxhash64("rid", F.lit(5)), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    ask = dealt.filter("asks").select("rid", "label", "band", place("rows").alias("i"), each("columns").alias("j"), F.lit(1).alias("asks"))
+    told = dealt.select("rid", "label", "band", place("columns").alias("j"), each("rows").alias("i"), F.lit(0).alias("asks"))
+    sets = _sets(plain, members.select(F.col("rid").alias("doc_id")))
+    full = sets.join(nodes.select("rid", "n", "regs"), "rid")
+    units = ask.unionByName(told).join(full, "rid").groupBy("band", "i", "j").applyInArrow(lambda rows: _compare_blocks(rows, per_cent), "a long, b long")
+    links = materialise(units)
+    discard(labelled, left, members, parts, sets)
+    return links
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", per_cent: int = PER_CENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row. Sets with a Jaccard similarity of per_cent or more are linked."""
     plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketches = materialise(plain.mapInArrow(sketch, "doc_id long, n long, digest binary, regs binary, bands array<long>"))
     known = sketches.filter("digest is not null and doc_id is not null")
-    smallest = materialise(known.groupBy("digest").agg(F.min("doc_id").alias("rid")))
-    nodes = known.join(smallest, "digest").filter("doc_id = rid").select("rid", "n", "regs", "bands")
+    nodes = known.groupBy("digest").agg(F.min("doc_id").alias("rid"), F.count("*").alias("times"), F.min_by(F.struct("n", "regs", "bands"), "doc_id").alias("s"))
+    nodes = materialise(nodes.select("digest", "rid", "times", "s.*"))
+    total, different = nodes.agg(F.coalesce(F.sum("times"), F.lit(0)), F.count("*")).first()
 
     at = nodes.select("rid", F.explode("bands").alias("band"))
-    shared = at.groupBy("band").count().filter("count > 1")
-    shared = materialise(at.join(shared, "band").select("band", "rid", F.col("count").cast("int").alias("k")))
-    few = shared.filter(F.col("k") <= SMALL).groupBy("band").agg(F.array_sort(F.collect_set("rid")).alias("r"))
-    pairs = few.select("r", F.posexplode("r").alias("i", "a")).select("a", F.explode(F.slice("r", F.col("i") + 2, F.size("r"))).alias("b")).distinct()
-    sizes = nodes.select("rid", "n", "regs")
-    left, right = sizes.toDF("a", "n_a", "regs_a"), sizes.toDF("b", "n_b", "regs_b")
-    likely = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "regs_a", "regs_b")
-    likely = materialise(likely.mapInArrow(lambda batches: _estimate(batches, per_cent), "a long, b long").distinct())
-
-    many = shared.filter(F.col("k") > SMALL)
-    wanted = materialise(likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).unionByName(many.select(F.col("rid").alias("doc_id"))).distinct())
-    sets = materialise(among(plain, wanted, "doc_id").mapInArrow(full_sets, "rid long, set binary"))
-    close = likely.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
-    links = close.mapInArrow(lambda batches: _confirm(batches, per_cent), "a long, b long")
-
-    parts = F.ceil(F.col("k") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rid", F.lit(5)), parts).cast("int")
-    dealt = many.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    dealt = dealt.select("band", "rid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"))
-    stars = dealt.join(sets, "rid").groupBy("band", "i", "j").applyInArrow(lambda rows: _compare_blocks(rows, per_cent), "a long, b long")
-
-    labels = components(links.unionByName(stars))
-    labels = labels.groupBy("node").agg(F.min("label").alias("label"))
-    members = sketches.select("doc_id", "n", "digest").join(smallest, "digest", "left").select("doc_id", "n", "rid")
-    out = members.join(labels, members["rid"] == labels["node"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rid", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    buckets = materialise(at.groupBy("band").agg(F.count("*").alias("times"), F.min("rid").alias("hub")).filter("times > 1"))
+    shared = materialise(join_hot(at, buckets, "band", "times", different * (REGISTERS // ROWS)))
+    links = _star_links(shared, nodes, plain, per_cent)
+    labels = materialise(components(links))
+    more = _further_links(shared, labels, nodes, plain, per_cent)
+    discard(buckets, shared, links)
+    labelled = nodes.select("digest", "rid", "times").join(labels.toDF("rid", "label"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
+    if not more.isEmpty():
+        again = components(more)
+        labelled = labelled.join(again.toDF("label", "then"), "label", "left").withColumn("label", F.coalesce("then", "label"))
+    labelled = materialise(labelled.select("digest", "times", "label"))
+    discard(nodes, labels, more)
+
+    members = join_hot(known.select("doc_id", "n", "digest"), labelled, "digest", "times", total).select("doc_id", "n", "label")
+    alone = sketches.filter("digest is null or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("label"))
+    out = members.unionByName(alone)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("label").alias("component_id"), F.col("label").eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", per_cent: int = PER_CENT) -> DataFrame:
@@ -274,5 +347,5 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", per_cent:
     gone = decided.filter("not kept").select(F.col("doc_id").alias(key)).distinct()
     twice = decided.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(key))
     twice = materialise(twice.join(gone, key, "left_anti"))
-    out = among(docs, materialise(gone.unionByName(twice)), key, how="left_anti")
-    return out.unionByName(among(docs, twice, key).dropDuplicates([key])).select(*docs.columns)
+    out = among(docs, materialise(gone.unionByName(twice)), key, how="left_anti").select(*docs.columns)
+    return out if twice.isEmpty() else out.unionByName(among(docs, twice, key).dropDuplicates([key]).select(*docs.columns))

@@ -154,8 +154,10 @@ def brute_components(texts):
     return [len(s) for s in sets], label
 
 
-def test_near_duplicates_and_hot_groups(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "SMALL", 8)
+@pytest.mark.parametrize("block", [512, 8])
+def test_near_duplicates_and_hot_groups(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "SHARE", block)
     rng = random.Random(7)
     texts = [None, "", "  ", "one two", "ONE two", "one two three"]
     for words in (7, 60, 200):
@@ -175,6 +177,37 @@ def test_near_duplicates_and_hot_groups(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label)) and kept.columns == docs(spark, texts).columns
 
 
+def test_recall_near_the_threshold(spark):
+    """Planted pairs with similarities from 0.80 to 0.90, short texts included: all that link are found, and no other."""
+    rng, texts = random.Random(24), []
+    for i in range(400):
+        words = prose(rng, rng.choice([12, 30, 60, 150, 400])).split()
+        edited, edits = list(words), max(1, round(len(words) * 0.028 * rng.uniform(0.3, 1.2)))
+        for at in rng.sample(range(len(words)), edits):
+            edited[at] = f"w{i}x{at}"
+        if len(words) == 12 or i % 4 == 0:
+            edited = words + [f"w{i}"] * rng.randint(1, 2 + len(words) // 5)  # few shingles more
+        texts += [" ".join(words), " ".join(edited)]
+    shingles = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    alike = [len(a & b) / len(a | b) for a, b in zip(shingles[::2], shingles[1::2], strict=True)]
+    assert sum(0.80 <= x < 0.85 for x in alike) > 20 and sum(0.85 <= x < 0.90 for x in alike) > 20
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs(spark, texts)).collect()}
+    linked = [100 * len(a & b) >= 85 * len(a | b) for a, b in zip(shingles[::2], shingles[1::2], strict=True)]
+    assert [got[2 * i + 1] == 2 * i for i in range(400)] == linked
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    rng = random.Random(25)
+    same, other = prose(rng, 30_000), prose(rng, 50)
+    rows = [(5, same, 1)] * 40 + [(None, same, 1), (None, None, 1), (3, same, 1), (5, other, 1), (9, other, 1), (9, other, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rid int").withColumn("band", F.lit("x"))
+    got = near_dedup.near_duplicates(df).groupBy("doc_id", "component_id", "kept").count().collect()
+    assert sum(r["count"] for r in got) == len(rows) and {(r.doc_id, r.component_id) for r in got if r.doc_id in (3, None)} == {(3, 3), (None, None)}
+    assert {r.component_id for r in got if r.doc_id == 9} == {5}
+    kept = near_dedup.keep_one(df)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} >= {3, None}
+
+
 def test_blocks_find_what_pairs_find():
     rng = np.random.default_rng(8)
     sets = [np.unique(rng.integers(0, 40, rng.integers(5, 30)).astype(np.uint64)) for _ in range(60)]
@@ -317,16 +350,57 @@ def test_interval_expansion_equals_counting():
             assert [g.tolist() for g in suffix_dedup.repeated_starts(segments, length)] == want
 
 
+def brute_passages(texts, words):
+    """How many runs of words under repeated strings of `words` words each text has."""
+    split, seen = [(t or "").encode().split() for t in texts], {}
+    for w in split:
+        for i in range(len(w) - words + 1):
+            k = tuple(w[i : i + words])
+            seen[k] = seen.get(k, 0) + 1
+    out = []
+    for w in split:
+        gone = np.zeros(len(w), bool)
+        for i in range(len(w) - words + 1):
+            if seen[tuple(w[i : i + words])] > 1:
+                gone[i : i + words] = True
+        out.append(int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum()))
+    return out
+
+
+def test_word_strings_equal_counting():
+    rng = random.Random(23)
+    segments = list({" ".join(rng.choice("abc") for _ in range(rng.randint(1, 40))).encode() for _ in range(12)})
+    seen, split = {}, [s.split() for s in segments]
+    for w in split:
+        for i in range(len(w) - 3):
+            seen[tuple(w[i : i + 4])] = seen.get(tuple(w[i : i + 4]), 0) + 1
+    assert [g.tolist() for g in suffix_dedup.repeated_starts(segments, 4, words=True)] == [[i for i in range(len(w) - 3) if seen[tuple(w[i : i + 4])] > 1] for w in split]
+
+
 @pytest.mark.parametrize("block", [3000, 4])
 def test_repeats_across_documents(spark, block, monkeypatch):
     rng = random.Random(14)
     passage = prose(rng, 150)
+    short = " ".join(passage.split()[20:71])
     texts = [prose(rng, 40) + " " + passage + " " + prose(rng, 30) for _ in range(25)]
-    texts += [passage, passage[:400], passage[1:400], "be " * 400, "é" * 900, None, "", prose(rng, 500), prose(rng, 90) + passage[50:460]]
+    texts += [passage, passage[:400], passage[1:400], "be " * 400, "é" * 900, None, "", prose(rng, 500), prose(rng, 90) + passage[50:460], "x " + short + "\n\n" + short.replace(" ", "\t") + " y", " ".join(short.split()[1:])]
     texts += [texts[0]] * 3
     monkeypatch.setattr(suffix_dedup.repeated_spans, "__defaults__", (block,))
     df = docs(spark, texts)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(df).collect()}
-    assert [got[i] for i in range(len(texts))] == brute_repeats([(t or "").encode() for t in texts], 400)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passages) for r in suffix_dedup.remove_repeats(df).collect()}
+    want = brute_repeats([(t or "").encode() for t in texts], 400)
+    assert [got[i] for i in range(len(texts))] == [(*w, n) for w, n in zip(want, brute_passages(texts, 51), strict=True)]
+    assert all(len(suffix_dedup.remove_repeats(df, passages=None).filter(f"n_removed = {w[1]}").take(1)) == 1 for w in want[:1])
     out = {r.doc_id: r for r in suffix_dedup.without_repeats(df).collect()}
     assert passage not in "".join(r.text or "" for r in out.values()) and len(texts) - 5 in out and all(r.n_chars == len(r.text or "") for r in out.values())
+
+
+def test_many_equal_rows_with_null_ids(spark):
+    text = prose(random.Random(15), 130)
+    schema = "doc_id long, text string, spans int, hash string"
+    df = spark.createDataFrame([(None, text, 1, "x")] * 5000 + [(None, text + "!", 1, "x"), (0, "other", 1, "x"), (0, None, 1, "x")], schema)
+    got = suffix_dedup.remove_repeats(df).groupBy("doc_id", "n_bytes", "n_removed", "n_passages").count().collect()
+    n = len(text)
+    assert sorted(((r[1], r[2], r[3], r[4]) for r in got)) == [(0, 0, 0, 1), (5, 0, 0, 1), (n, n, 1, 5000), (n + 1, n, 1, 1)]
+    left = suffix_dedup.without_repeats(df).collect()
+    assert sorted(r.text or "" for r in left) == ["", "!", "other"] and left[0].asDict().keys() == {"doc_id", "text", "spans", "hash"}
