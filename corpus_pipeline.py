@@ -11,8 +11,6 @@ from sitesift.llm.common import materialise, remainder, table
 
 #: op5 takes 85 by its contract; the stage takes copies from 0.8.
 NEAR_PER_CENT = 80
-#: One word more than these has at least twice as many bytes and one, spaces counted.
-PASSAGE_WORDS = 50
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +25,8 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that stand elsewhere too: those of over `PASSAGE_WORDS` words, or of 400 bytes."""
-    return suffix_dedup.without_repeats(docs, length=2 * PASSAGE_WORDS + 1, words=PASSAGE_WORDS)
+    """Documents without passages of over 50 words that stand elsewhere too."""
+    return suffix_dedup.without_repeats(docs, unit=suffix_dedup.PASSAGE)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
