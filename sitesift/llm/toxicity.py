@@ -1,30 +1,34 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Transducers read a clause's tokens from left to right and are composed:
+Each transducer is a table: from a state and a token's class to a state, and what the state does to a weight there.
 
-- insult: a token that begins with a learned stem emits its learned weight;
-- threat: an announcing token, then a harming one, emits a weight of its own;
-- target: a person named or addressed within `REACH` tokens multiplies what is emitted;
-- negation: a token just before an emission divides it;
-- reported speech: a verb of saying earlier in the clause, or an open quotation mark, divides it.
+- threat: after an announcing token, a harming one within `REACH` tokens adds a weight;
+- negation: within `NEAR` tokens after one, weights are divided;
+- reported speech: after a verb of saying, or inside quotation marks, weights are divided;
+- target: within `REACH` tokens after a person named or addressed, and (by the same table, read from the right) before one, weights are multiplied;
+- insult: the weight of a token itself, learned for the stem it begins with.
 
-A clause scores what its transducers emit together. A text's features are its strongest clause, the sum over its clauses, and how many
-match; a logistic function fitted to labelled rows turns them into a score. Insult stems and their weights are learned
-from labelled rows: beginnings of words that toxic texts have and clean ones have not. The function words of the other transducers are fixed.
+The tables are composed to one by their product, which runs over a clause's classes. A clause scores the sum of its tokens' weights. A text's features are its
+strongest clause, the sum over its clauses, and how many match; a logistic function fitted to labelled rows turns them into a score. Insult
+stems and their weights are learned from labelled rows: beginnings of words that toxic texts have and clean ones have not. The function words of the other
+transducers are fixed.
 
 An Aho-Corasick automaton finds clauses that hold a trigger; only these are tokenised.
 
-Defined results: null, empty and unmatched texts get the score of no match; texts of any length are read whole; without labelled rows of both
-labels nothing is learned, only the fixed grammar scores; repeated rows and rows with null ids each get their own row.
+Defined results: null, empty and unmatched texts get the score of no match; texts of any length are read whole, in linear time; without labelled rows of both
+labels nothing is learned, only the fixed grammar scores; repeated rows and rows with null ids each get their own row; an empty table gives an empty
+result; columns named score or predicted are replaced.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -50,6 +54,56 @@ _TOKEN = re.compile(r"[^\W\d_]*[nN]'[tT](?![^\W\d_])|[^\W\d_]+|[\"“”«»„]
 _QUOTES = frozenset("\"“”«»„")
 
 
+#: Classes of tokens.
+OTHER, TARGET, NEGATION, REPORT, ANNOUNCER, HARM, QUOTE = range(7)
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """step[state][class]: the next state; of states: what they add to a harming token's weight, what a token's weight is multiplied by, and the factor of a
+    target near. State 0 begins."""
+
+    step: list[list[int]]
+    adds: list[float]
+    factor: list[float]
+    aim: list[float]
+
+    def run(self, classes: list[int]) -> list[int]:
+        out, state = [], 0
+        for c in classes:
+            state = self.step[state][c]
+            out.append(state)
+        return out
+
+
+def distance(kind: int, reach: int, adds: float = 0.0, factor: float = 1.0, aim: float = 1.0) -> Transducer:
+    """Counts the tokens since one of a class: states 1 to reach + 1 have it at a distance of 0 to reach, state 0 has none."""
+    step = [[1 if c == kind else s + 1 if 0 < s <= reach else 0 for c in range(7)] for s in range(reach + 2)]
+    near = [s > 0 for s in range(reach + 2)]
+    return Transducer(step, [adds * n for n in near], [factor if n else 1.0 for n in near], [aim if n else 1.0 for n in near])
+
+
+def speech(factor: float) -> Transducer:
+    """States: bit 0 after a verb of saying, bit 1 inside quotation marks."""
+    step = [[s | 1 if c == REPORT else s ^ 2 if c == QUOTE else s for c in range(7)] for s in range(4)]
+    return Transducer(step, [0.0] * 4, [factor if s else 1.0 for s in range(4)], [1.0] * 4)
+
+
+def compose(a: Transducer, b: Transducer) -> Transducer:
+    """The product: state i * |b| + j stands for state i of a and j of b."""
+    m, pairs = len(b.step), [(i, j) for i in range(len(a.step)) for j in range(len(b.step))]
+    return Transducer(
+        [[a.step[i][c] * m + b.step[j][c] for c in range(7)] for i, j in pairs], [a.adds[i] + b.adds[j] for i, j in pairs],
+        [a.factor[i] * b.factor[j] for i, j in pairs], [max(a.aim[i], b.aim[j]) for i, j in pairs],
+    )
+
+
+PARTS = (distance(ANNOUNCER, REACH, adds=THREAT), distance(NEGATION, NEAR, factor=NEGATED), speech(REPORTED), distance(TARGET, REACH, aim=TARGETED))
+COMPOSED = reduce(compose, PARTS)
+#: Read from the right; a token's own class is no target before itself.
+AHEAD = distance(TARGET, REACH, aim=TARGETED)
+
+
 @dataclass
 class Grammar:
     stems: dict[str, float]
@@ -77,36 +131,16 @@ class Grammar:
         return max((self.stems.get(token[:n], 0.0) for n in range(LEAST_STEM, min(len(token), MOST_STEM) + 1)), default=0.0)
 
     def clause(self, text: str) -> float:
-        """Runs the composed transducers over one clause."""
-        emitted, target_at, negated_at, reported, quoted, announced_at, waiting = 0.0, -99, -99, False, False, -99, []
-        for i, found in enumerate(_TOKEN.finditer(text)):
-            token = found[0].lower()
-            if token in _QUOTES:
-                quoted = not quoted
-                continue
-            if token in _ROLES:
-                role = _ROLES[token]
-                if role == "target":
-                    target_at = i
-                    emitted += sum(w * (TARGETED - 1) for w, at in waiting if i - at <= REACH)  # a target may follow
-                    waiting = []
-                elif role == "negation":
-                    negated_at = i
-                elif role == "report":
-                    reported = True
-                elif role == "announcer":
-                    announced_at = i
-            weight = self.weight(token)
-            if token in _HARMS and i - announced_at <= REACH:
-                weight += THREAT
+        """Runs the composed table over one clause."""
+        tokens = [t.lower() for t in _TOKEN.findall(text)]
+        classes = [_CLASSES.get(t, OTHER) for t in tokens]
+        behind = COMPOSED.run(classes)
+        ahead = AHEAD.run(classes[::-1])[::-1]
+        emitted = 0.0
+        for token, kind, state, then in zip(tokens, classes, behind, ahead, strict=True):
+            weight = 0.0 if kind == QUOTE else self.weight(token) + (COMPOSED.adds[state] if kind == HARM else 0.0)
             if weight:
-                weight *= NEGATED if i - negated_at <= NEAR else 1
-                weight *= REPORTED if reported or quoted else 1
-                if i - target_at <= REACH:
-                    weight *= TARGETED
-                else:
-                    waiting.append((weight, i))
-                emitted += weight
+                emitted += weight * COMPOSED.factor[state] * max(COMPOSED.aim[state], AHEAD.aim[then])
         return emitted
 
     def features(self, text: str) -> tuple[float, float, float] | None:
@@ -117,14 +151,14 @@ class Grammar:
         if len(plain) != len(text) + 1:  # letters that are longer in lower case
             place = [0, *(i for i, c in enumerate(text, 1) for _ in (c.lower() if c.isalpha() else " "))]
             hits = [place[end] for end in hits]
+        ends = [m.start() for m in _CLAUSE_END.finditer(text)]
         scores, done = [], -1
         for end in hits:
             if end - 1 < done:
                 continue
-            lo = max(text.rfind(c, 0, max(end - 1, 0)) for c in ".!?;\n") + 1
-            ends = [p for c in ".!?;\n" if (p := text.find(c, end - 1)) >= 0]
-            done = min(ends, default=len(text))
-            scores.append(self.clause(text[lo:done]))
+            k = bisect_left(ends, end - 1)
+            done = ends[k] if k < len(ends) else len(text)
+            scores.append(self.clause(text[ends[k - 1] + 1 if k else 0 : done]))
         scores = [s for s in scores if s > 0]
         return (max(scores), math.log1p(sum(scores)), math.log1p(len(scores))) if scores else None
 
@@ -134,8 +168,8 @@ class Grammar:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-_ROLES = {w: role for role, words in (("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS), ("announcer", ANNOUNCERS)) for w in words}
-_HARMS = frozenset(HARMS)
+_ROLES = {w: role for role, words in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (ANNOUNCER, ANNOUNCERS)) for w in words}
+_CLASSES = {**dict.fromkeys(HARMS, HARM), **dict.fromkeys(_QUOTES, QUOTE), **_ROLES}
 
 
 def stems_of(text: str) -> set[str]:
@@ -203,14 +237,16 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 0.05
 
 
 def score_texts(docs: DataFrame, grammar: Grammar, text: str = "text", threshold: float = 0.7) -> DataFrame:
-    """docs with score and predicted after its own columns."""
-    schema = docs.select("*", F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema
+    """docs with score and predicted after its own columns; own ones of these names are replaced."""
+    rest = [c for c in docs.columns if c not in ("score", "predicted")]
+    at = rest.index(text)
+    inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)])
+    schema = inner.select("*", F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema
     held = docs.sparkSession.sparkContext.broadcast(grammar)  # at most `most_stems` stems
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text))
-            scores = np.array([held.value.score(t.as_py()) for t in texts], float)
+            scores = np.array([held.value.score(t) for t in batch.column(at).to_pylist()], float)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return inner.mapInArrow(run, schema).toDF(*rest, "score", "predicted")
