@@ -7,7 +7,7 @@ A filter's response to a byte is a row of a 256-row table, so a convolution is a
 
 Defined results: null text and text without a letter are `und` with score 0; a text of any length is read whole, in chunks
 of bounded memory; with no labelled row every text is `und`; ties go to the language that sorts first; repeated rows and
-rows with null ids each get their own row; columns other than the text and the id are not read.
+rows with null ids each get their own row; an empty table gives an empty result; columns named lang_pred or score are replaced, others are not read.
 """
 
 from __future__ import annotations
@@ -192,18 +192,21 @@ def predict(model: Model | None, column: pa.Array, letters: np.ndarray, chunk: i
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score after its own columns. A clash of names is the caller's to avoid."""
-    schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    """docs with lang_pred and score after its own columns; own ones of these names are replaced."""
+    rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    place = rest.index(text)
+    inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)])
+    schema = inner.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
     held = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred kB whatever the data
-    marked = docs.withColumn("__letters", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    marked = inner.withColumn("letters", F.coalesce(F.col(f"c{place}").rlike(r"\p{L}"), F.lit(False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             letters = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool)
-            lang, score = predict(held.value, batch.column(batch.schema.get_field_index(text)), letters)
+            lang, score = predict(held.value, batch.column(place), letters)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score)], names=schema.names)
 
-    return marked.mapInArrow(run, schema)
+    return marked.mapInArrow(run, schema).toDF(*rest, "lang_pred", "score")
 
 
 def kept_languages(docs: DataFrame, model: Model | None, least: float = 0.3, text: str = "text") -> DataFrame:

@@ -312,9 +312,10 @@ def pieces(path: str = MODEL) -> Pieces:
 
 
 def encode(docs: DataFrame, text: str = "text", model: str = MODEL, chunk: int = 1 << 20) -> DataFrame:
-    """docs with ids (array<int>) in place of the text column, then n_tokens and round_trip: whether decoding gives the text again."""
+    """docs with ids (array<int>) in place of the text column, then n_tokens and round_trip: whether decoding gives the text again. Own columns of these
+    names are replaced."""
     bound_batches(docs.sparkSession)
-    rest = [c for c in docs.columns if c != text]
+    rest = [c for c in docs.columns if c not in (text, "ids", "n_tokens", "round_trip")]
     inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)], F.col(f"`{text}`").alias("t"))
     schema = T.StructType([*inner.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("round_trip", T.BooleanType())])
 
@@ -342,7 +343,8 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, chunk: int =
 
 
 def decode(docs: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFrame:
-    """docs with text after its own columns; bytes that are no UTF-8 become U+FFFD."""
+    """docs with text after its own columns (an own one of this name is replaced); bytes that are no UTF-8 become U+FFFD."""
+    docs = docs.drop("text")
     schema = T.StructType([*docs.schema.fields, T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -111,7 +111,7 @@ with c as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select * from (values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')) as h(conv_id, turn, role, text)),
 e as (
-  select *, replace(role, '\', '\') as r1, replace(text, '\', '\') as t1,
+  select *, replace(role, '\', '\\') as r1, replace(text, '\', '\\') as t1,
     '<\|im_start\|>|<\|im_sep\|>|<\|im_end\|>|<\|endoftext\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>' as pat from c),
 n as (
   select *, length(r1) + len(regexp_extract_all(r1, pat)) + length(t1) + len(regexp_extract_all(t1, pat)) + 32 as chars from e)

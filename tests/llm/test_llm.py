@@ -41,9 +41,109 @@ def test_language_network_learns_and_handles_odd_texts(spark):
     assert language_id.kept_languages(odd, model).columns == odd.columns and language_id.kept_languages(odd, model).count() == 2
 
 
+def test_network_equals_a_naive_convolution():
+    rng = np.random.default_rng(30)
+    model = language_id.Model(["a", "b", "c"], [rng.normal(0, 1, (w, 256, 4)) for w in (2, 3)], [rng.normal(0, 1, 4) for _ in range(2)], rng.normal(0, 1, (8, 3)), rng.normal(0, 1, 3), 16)
+
+    def naive(window):
+        pooled = []
+        for table, bias in zip(model.tables, model.biases, strict=True):
+            n = len(window) - len(table) + 1
+            pooled += [max(0.0, max(sum(table[k][window[i + k]][f] for k in range(len(table))) for i in range(n)) + bias[f]) for f in range(4)]
+        z = [sum(h * model.weights[j][c] for j, h in enumerate(pooled)) + model.offset[c] for c in range(3)]
+        e = [np.exp(v - max(z)) for v in z]
+        return np.array(e) / sum(e)
+
+    texts = ["", "aé", "Hello, world! 42", "x" * 17, "the quick brown fox jumps over it " * 3, "ÀÉß ûñ 日本語 abc"]
+    got_lang, got_score = language_id.predict(model, pa.array(texts), np.array([any(c.isalpha() for c in t) for t in texts]))
+    for text, lang, score in zip(texts, got_lang, got_score, strict=True):
+        raw = bytes(32 if b < 128 and not chr(b).isalpha() else b for b in "".join(c.lower() if c.isascii() or "\u00c0" <= c <= "\u00de" and c != "\u00d7" else c for c in text).encode())
+        cuts = [raw[i : i + 16].ljust(16) for i in range(0, max(len(raw) - 2, 1), 14)] if raw else []
+        total = sum((naive(c) * (sum(b != 32 for b in c) + 1e-3) for c in cuts), np.zeros(3))
+        if not raw:
+            assert (lang, score) == ("und", 0)
+        else:
+            assert lang == "abc"[int(total.argmax())] and score == pytest.approx(total.max() / total.sum())
+
+
+def test_columns_that_clash(spark):
+    df = spark.createDataFrame([(1, "you idiot", 5, "q", True, [1], 7, "r", 3)], "doc_id long, text string, score int, lang_pred string, letters boolean, ids array<int>, n_tokens int, round_trip string, c0 int")
+    model = language_id.train(["das ist gut"] * 3 + ["this is good"] * 3, ["de"] * 3 + ["en"] * 3, epochs=1)
+    assert language_id.identify(df, model).columns == ["doc_id", "text", "letters", "ids", "n_tokens", "round_trip", "c0", "lang_pred", "score"]
+    out = toxicity.score_texts(df, toxicity.Grammar({"idiot": 4.0}, (0.5, 0.5, 0.0), -2.0))
+    assert out.columns == ["doc_id", "text", "lang_pred", "letters", "ids", "n_tokens", "round_trip", "c0", "score", "predicted"] and out.first().c0 == 3
+    coded = pieces.encode(df)
+    assert coded.columns == ["doc_id", "score", "lang_pred", "letters", "c0", "ids", "n_tokens", "round_trip"] and coded.first().round_trip is True
+    assert pieces.decode(coded.withColumn("text", F.lit(1))).first().text == "you idiot"
+    again = fingerprint.edited_fingerprints(df.withColumn("fingerprint", F.lit(1)).withColumn("__range", F.lit(1)))
+    assert again.count() == 1 and mixing.mix(df.withColumn("source", F.lit("s")).withColumn("size", F.lit(1)).withColumn("cell", F.lit("x"))).count() == 1
+    vectors = spark.createDataFrame([(i, [float(i)], i, "x") for i in range(3)], "vec_id long, embedding array<double>, score int, block string")
+    assert vector_search.top_k(vectors, F.lit(True)).count() == 6
+
+
+def test_empty_tables_of_all(spark):
+    none = docs(spark, ["x"]).limit(0)
+    assert language_id.identify(none, None).count() == 0 and toxicity.score_texts(none, toxicity.Grammar({}, (1.0, 0.5, 0.0), -3.0)).count() == 0 and pieces.encode(none).count() == 0
+    turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat_format.digests(chat_format.format_conversations(turns)).count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string")
+    assert url_filter.filter_urls(pages, url_filter.rules_frame(spark, [url_filter.Rule("com", "/", "block")])).count() == 0
+
+
+def test_rows_with_null_and_equal_ids(spark):
+    df = spark.createDataFrame([(None, "a b c d e f")] * 3 + [(4, "a b c d e f")] * 2 + [(None, None)], "doc_id long, text string")
+    marked = fingerprint.edited_fingerprints(df).collect()
+    assert len(marked) == 6 and {r.n_chars for r in marked} == {0, 11} and {r.doc_id for r in marked} == {None, 4}
+    mixed = mixing.mix(df.withColumn("source", F.lit(None).cast("string"))).collect()
+    assert sorted(r["size"] for r in mixed) == [0, 6, 6, 6, 6, 6] and abs(sum(r.taken for r in mixed) - 45) <= 8
+    vectors = spark.createDataFrame([(1, [1.0]), (1, [1.0]), (None, [9.0]), (2, [3.0])], "vec_id long, embedding array<double>")
+    assert sorted((r.query_id, r.vec_id) for r in vector_search.top_k(vectors, F.lit(True)).collect()) == [(1, 2), (1, 2), (2, 1), (2, 1)]
+
+
 # ---- 2
 
 
+def naive_fingerprint(raw):
+    """One byte after the other, with whole numbers."""
+    whole = (1 << 64) - 1
+    byte, base = fingerprint._BYTE.tolist(), fingerprint._BASE
+
+    def poly(part):
+        total, power = 0, 1
+        for b in part:
+            total, power = (total + byte[b] * power) & whole, (power * base) & whole
+        return total
+
+    def finish(h):
+        h ^= h >> 32
+        h = (h * 0xD6E8FEB86659FD93) & whole
+        h ^= h >> 32
+        h = (h * 0xD6E8FEB86659FD93) & whole
+        return h ^ (h >> 32)
+
+    rolled = [((poly(raw[max(0, i - 6) : i + 1]) * 0xD6E8FEB86659FD93) & whole) >> 24 for i in range(len(raw))]
+    block = 4
+    while block * 64 < len(raw):
+        block *= 2
+    while block > 4 and sum(r % block == block - 1 for r in rolled) < 31:
+        block //= 2
+
+    def signature(size):
+        out, start = "", 0
+        for i, r in enumerate(rolled):
+            if r % size == size - 1 and len(out) < 63:
+                out, start = out + chr(fingerprint._CODE[finish(poly(raw[start : i + 1])) >> 58]), i + 1
+        return out + (chr(fingerprint._CODE[finish(poly(raw[start:])) >> 58]) if start < len(raw) else "")
+
+    return f"{block}:{signature(block)}:{signature(2 * block)}"
+
+
+def test_fingerprints_equal_naive_ones():
+    rng = random.Random(31)
+    texts = ["", "a", "é", "x" * 700, "ab" * 400, *(prose(rng, n) for n in (1, 3, 20, 60, 300, 700)), *("".join(rng.choice("ab") for _ in range(rng.randint(1, 40))) for _ in range(20))]
+    assert fingerprint.fingerprints(pa.array(texts)) == [naive_fingerprint(t.encode()) for t in texts]
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):
@@ -104,6 +204,50 @@ def test_toxicity_prefilter_misses_no_clause():
     assert [t[0] for t in toxicity._TOKEN.finditer("isn't l'idiot DON'T")] == ["isn't", "l", "idiot", "DON'T"]
 
 
+def naive_clause(grammar, text):
+    """Token by token with counters, without tables."""
+    tokens = [m[0].lower() for m in toxicity._TOKEN.finditer(text)]
+    has = lambda words, lo, hi: any(t in words for t in tokens[max(lo, 0) : hi])
+    total = 0.0
+    for i, t in enumerate(tokens):
+        if t in toxicity._QUOTES:
+            continue
+        weight = max((w for s, w in grammar.stems.items() if t.startswith(s)), default=0.0)
+        if t in toxicity.HARMS and has(toxicity.ANNOUNCERS, i - toxicity.REACH, i + 1):
+            weight += toxicity.THREAT
+        if has(toxicity.NEGATIONS, i - toxicity.NEAR, i + 1):
+            weight *= toxicity.NEGATED
+        if has(toxicity.REPORTS, 0, i + 1) or sum(x in toxicity._QUOTES for x in tokens[:i]) % 2:
+            weight *= toxicity.REPORTED
+        if has(toxicity.TARGETS, i - toxicity.REACH, i + 1 + toxicity.REACH):
+            weight *= toxicity.TARGETED
+        total += weight
+    return total
+
+
+def test_composed_transducers_equal_single_ones_and_the_naive_walk():
+    rng, g = random.Random(32), toxicity.Grammar({"idiot": 4.0, "idio": 1.0, "scum": 2.5}, (0.5, 0.5, 0.0), -2.0)
+    words = ["you", "idiot", "idiotic", "scum", "will", "kill", "not", "said", '"', "tree", "house", "of", "and", "red"]
+    for _ in range(400):
+        classes = [rng.randrange(7) for _ in range(rng.randint(0, 25))]
+        single = [p.run(classes) for p in toxicity.PARTS]
+        state = 0
+        for i, at in enumerate(toxicity.COMPOSED.run(classes)):
+            parts = [(p, s[i]) for p, s in zip(toxicity.PARTS, single, strict=True)]
+            assert toxicity.COMPOSED.adds[at] == sum(p.adds[s] for p, s in parts) and toxicity.COMPOSED.aim[at] == max(p.aim[s] for p, s in parts)
+            assert toxicity.COMPOSED.factor[at] == pytest.approx(np.prod([p.factor[s] for p, s in parts]))
+            state = toxicity.COMPOSED.step[state][classes[i]]
+            assert state == at
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(0, 25)))
+        assert g.clause(text) == pytest.approx(naive_clause(g, text)), text
+
+
+def test_toxicity_of_a_very_long_text():
+    g = toxicity.Grammar({"idiot": 4.0}, (0.5, 0.5, 0.0), -2.0)
+    one, many = "you idiot, " * 20_000, "you idiot. " * 20_000
+    assert g.features(one)[2] == pytest.approx(np.log1p(1)) and g.features(many)[2] == pytest.approx(np.log1p(20_000))
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(5)
     rows, labels = [], []
@@ -272,6 +416,15 @@ def test_mix(spark):
     for size, target in by_size.items():
         assert sum(r.taken for r in got if r.source_size == size) == pytest.approx(target, rel=0.02, abs=40)
     assert sorted((r.doc_id, r.taken) for r in mixing.mix(df, shard_words=4000).collect()) == sorted((r.doc_id, r.taken) for r in got)
+    assert all(r.taken == sum(r.quota // r.blocks + (mixing.block_hash(r.mark, b) <= r.last_hash) for b in ((r.start + i) // 8 for i in range(r["size"]))) for r in got)
+    for mark, blocks, rest in {(r.mark, r.blocks, r.quota % max(r.blocks, 1)) for r in got}:
+        picked = sorted(range(blocks), key=lambda b: mixing.block_hash(mark, b))[:rest]
+        assert all((mixing.block_hash(mark, b) <= mixing.last_picked(mark, blocks, rest)) == (b in picked) for b in range(blocks))
+    seats = {r.mark: (r.source_size, r.quota) for r in got}
+    votes = sorted(by_size.items())
+    most = [2 * sum(r.blocks for r in {x.mark: x for x in got if x.source_size == size}.values()) for size, _ in votes]
+    dealt = mixing.apportion(np.array([v for _, v in votes]), int(sum(want.values()) / 8 + 0.5), np.array(most))
+    assert [sum(q for s, q in seats.values() if s == size) for size, _ in votes] == dealt.tolist()
     texts_out = mixing.mixed_texts(df, shard_words=4000)
     assert texts_out.columns == df.columns
     assert sum(len(r.text.split()) for r in texts_out.collect()) == sum(r.taken for r in got)
@@ -306,6 +459,11 @@ def test_top_k_is_exact(spark):
     want = vector_search.brute_force(ids, np.floor(64 * x).astype(np.int64), ids % 20 == 0, 7)
     assert got.astype("int64").equals(want.astype("int64"))
     assert vector_search.top_k(df.filter("vec_id in (0, 1)"), F.col("vec_id") == 0).count() == 1
+    told = vector_search.top_k(df, F.col("vec_id") % 20 == 0, k=7, block=64, group=4, pivots=5, report=True).collect()
+    assert len(told) == len(want) and all(7 <= r.evaluated <= 300 for r in told)
+    wide = spark.createDataFrame([(1, [2.0**56]), (2, [2.0]), (3, [-1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        vector_search.top_k(wide, F.col("vec_id") == 2).collect()
     assert vector_search.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
@@ -315,7 +473,11 @@ def test_bounds_stop_early():
     pivots = vector_search.choose_pivots(c, 8)
     q = c[-3:]
     *_, evaluated = vector_search.search_block(np.array([-1, -2, -3]), q, vector_search.pivot_distances(q, pivots), np.arange(len(c)), c, vector_search.pivot_distances(c, pivots), 10)
-    assert evaluated < len(c)
+    assert all(evaluated < len(c)) and evaluated.sum() > 0
+    least = vector_search.starting_scores(np.array([-1, -2, -3]), q, np.arange(len(c)), c, 10)
+    far = c[:64]
+    *_, skipped = vector_search.search_block(np.array([-1, -2, -3]), q, vector_search.pivot_distances(q, pivots), np.arange(64), far, vector_search.pivot_distances(far, pivots), 10, least=least)
+    assert skipped.sum() == 0
 
 
 # ---- 10
