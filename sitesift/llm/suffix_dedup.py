@@ -286,7 +286,7 @@ def _solve(rows: list[Segment], whole: list[Segment], unit: Unit) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([pa.array([digest for digest, _ in found], pa.binary()), lists], names=["digest", "ranges"])
 
 
-def _expand(batches: Iterator[pa.RecordBatch], unit: Unit, limit: int = 800_000) -> Iterator[pa.RecordBatch]:
+def _expand(batches: Iterator[pa.RecordBatch], unit: Unit, limit: int = 200_000) -> Iterator[pa.RecordBatch]:
     """Rows sorted by unit of work: whole units are gathered up to about `limit` bytes, and one transform serves them all.
 
     A unit of one segment that has copies is repeated as a whole; it needs no transform.
