@@ -41,7 +41,9 @@ def _clash(a: str, b: str) -> bool:
 
 
 def _overlaps_itself(term: str) -> bool:
-    return any(term[:k] == term[-k:] for k in range(1, len(term)))
+    """Whether two occurrences can share characters; those of a Latin term only where it has a boundary."""
+    inside = lambda k: latin(term) and (term[k].isalnum() or term[-k - 1].isalnum())
+    return any(term[:k] == term[-k:] and not inside(k) for k in range(1, len(term)))
 
 
 def groups(terms: list[str]) -> list[list[str]]:
@@ -69,9 +71,9 @@ def _alternatives(terms: list[str]) -> str:
 def matches(text: Column, vocabulary: list[str]) -> Column:
     """Every occurrence of every term in a normalized text, as an array of terms; non-overlapping occurrences of each term, as if it were sought alone."""
     low = sorted({t.lower() for t in vocabulary if t})
-    words = [t for t in low if latin(t)]
+    alone = [t for t in low if _overlaps_itself(t)]
+    words = [t for t in low if latin(t) and t not in alone]
     others = [t for t in low if not latin(t)]
-    alone = [t for t in others if _overlaps_itself(t)]
     arabic = [t for t in others if t not in alone and re.search("[\u0600-\u06ff]", t)]
     rest = [t for t in others if t not in alone and t not in arabic]
     none = F.array().cast("array<string>")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import html as html_module
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space as the text rules see it: Unicode white space and the ASCII separators.
 SPACE = r"(?U)[\s\x1c-\x1f]"
@@ -55,6 +59,12 @@ def unescape(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), F.replace(numeric, F.lit("&amp;"), F.lit("&"))).otherwise(text)
 
 
+@F.pandas_udf(StringType())
+def unescape_all(text: pd.Series) -> pd.Series:
+    """All HTML references, also those without a semicolon: the exact form, in Arrow batches, for those who need more than ENTITIES."""
+    return text.map(html_module.unescape, na_action="ignore")
+
+
 def strip_tags(html: Column) -> Column:
     return collapse(unescape(F.regexp_replace(html, r"(?s)<[^>]+>", " ")))
 
@@ -85,8 +95,9 @@ def word_count(text: Column) -> Column:
 
 
 def percent_decoded(text: Column) -> Column:
-    """%XX decoded, `+` kept; a text with a malformed sequence stays as it is."""
-    return F.when(F.contains(text, F.lit("%")), F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)).otherwise(text)
+    """%XX decoded, `+` and malformed sequences kept; bytes that are no UTF-8 become U+FFFD."""
+    safe = F.replace(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"), F.lit("+"), F.lit("%2B"))
+    return F.when(F.contains(text, F.lit("%")), F.coalesce(F.try_url_decode(safe), text)).otherwise(text)
 
 
 def log_norm(x: Column, cap: float) -> Column:

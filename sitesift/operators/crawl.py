@@ -18,9 +18,11 @@ def internal_links(pages: DataFrame, scanned: int = 250) -> DataFrame:
     """pages: url, html. Adds `links`: distinct page URLs on the same domain with their anchors, in order, among the first `scanned` links."""
     found = F.transform(F.slice(links(F.col("html")), 1, scanned), lambda l: F.struct(crawlable(resolve(F.col("url"), l["href"])).alias("url"), l["anchor"].alias("anchor")))
     own = F.filter(found, lambda l: (l["url"] != "") & (domain(l["url"]) == domain(F.col("url"))))
-    held = pages.withColumn("own", own)
-    first = F.filter("own", lambda l, i: F.array_position(F.transform("own", lambda o: o["url"]), l["url"]) == i + 1)
-    return held.withColumn("links", first).drop("own")
+    # sorted by URL, a link is the first of its URL if the one before it has another
+    held = pages.withColumn("own", F.array_sort(F.transform(own, lambda l, i: F.struct(l["url"].alias("url"), i.alias("at"), l["anchor"].alias("anchor")))))
+    first = F.filter("own", lambda l, i: (i == 0) | (F.get(F.col("own"), i - 1)["url"] != l["url"]))
+    placed = F.array_sort(F.transform(first, lambda l: F.struct(l["at"].alias("at"), l["url"].alias("url"), l["anchor"].alias("anchor"))))
+    return held.withColumn("links", F.transform(placed, lambda l: F.struct(l["url"].alias("url"), l["anchor"].alias("anchor")))).drop("own")
 
 
 def best_links(links_: Column, base: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from ..functions import terms
 from ..functions.lexicon import latin
+from .config import ScoringConfig
+from .evaluation_sql import FLAGS, RECALL_FLAGS, case_sites, evaluation, flags, numbers
 
 _DOMAIN = "regexp_replace(lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.\\-]*:)?//([^/?#]*)', 1)), '^www\\.', '')"
 _PATH = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*([^?#]*)', 1))"
@@ -124,10 +126,36 @@ select coalesce(n.domain, o.domain) as domain, coalesce(nullif(n.email, ''), o.e
     "q_csv_wide_signals": f"with {_NORM}, {_LEADS} select lead_id, l.domain, email, discovered_at, case when page_id % 2 = 1 then cast(cast(length(norm) as double) as varchar) else '' end as signal_chars, case when page_id % 2 = 0 then cast(cast({_WORDS} as double) as varchar) else '' end as signal_total_words from norm join lead l using (page_id)",
     "q_query_generator": f"with {_GENERATED} select * from g",
     "q_search_requests": f"with {_GENERATED} select seq, page, q, 1 + page * 10 as start from g, (select unnest(range(3)) as page)",
-    "q_last_seen": f"with {_HITS} select * from (select domain, seq, url, row_number() over (partition by domain order by seq desc) as place from hit) where place <= 5",
+    "q_last_seen": f"with {_HITS} select * from (select domain, seq, url, row_number() over (partition by domain order by seq desc) as place from hit) where place <= 20",
     # without a (query, url) that comes back after it was dropped, the kept hits are the last 20 first occurrences
     "q_candidate_fold": f"""with {_HITS}, f as (select domain, query, url, min(seq) as seq from hit group by 1, 2, 3), r as (select *, row_number() over (partition by domain order by seq desc) as i from f),
 k as (select domain, count(*) as kept, sha256(string_agg(url, '|' order by seq)) as urls_sha256 from r where i <= 20 group by 1)
 select domain, arg_min(hit."at", hit.seq) as first_seen_at, arg_max(hit."at", hit.seq) as last_seen_at, arg_min(hit.url, hit.seq) as example_url, any_value(kept) as kept, any_value(urls_sha256) as urls_sha256 from hit join k using (domain) group by 1""",
     "q_stream_upsert": "with e as (select cast(user_id as varchar) as domain, event_id, case when event_type = 'click' then event_type || event_id else '' end as email from events) select domain, sha1(domain) as lead_id, coalesce(arg_max(email, event_id) filter (where email <> ''), '') as email, '' as phone, cast(min(event_id) as varchar) as discovered_at from e group by 1",
 }
+
+
+_PLAIN = f"""raw as (select page_id, url, {_collapse('lower(' + _first('<title[^>]*>(.*?)</title>') + ')')} as title, {_collapse('lower(' + _first('<h1[^>]*>(.*?)</h1>') + ')')} as h1,
+  {_collapse('lower(' + _first('<footer[^>]*>(.*?)</footer>') + ')')} as footer, {_page_text('html')} as given from pages)"""
+_COUNTRY = "case when ends_with(domain, '.sa') or regexp_matches(norm, 'saudi|ksa|السعود') then 'Saudi Arabia' else 'unknown' end"
+_NAME = """(select case when c = '' then 'unknown' else c end from (select trim(regexp_replace(coalesce(nullif(trim(regexp_split_to_array(title, '\\s*(?:\\||-|–|—|:|::)\\s*')[1]), ''), case when length(h1) >= 3 then h1 end, split_part(split_part(domain, ':', 1), '.', 1)), '(?i)\\b(home|homepage|official|website)\\b', '', 'g')) as c))"""
+_PRECISE = f"page_id, domain, score as relevance_score, decision, lead_type, category, source_type, {_COUNTRY} as country, city, confidence"
+_RECALLED = f"page_id, domain, recall_score as relevance_score, recall_decision as decision, lead_type, recall_category as category, source_type, {_COUNTRY} as country, city, recall_confidence as confidence"
+
+
+def _evaluation(raw: str, select: str, config: ScoringConfig = ScoringConfig()) -> str:
+    return f"with {evaluation(raw, _DOMAIN, _PATH, _collapse, config)} select {select} from out"
+
+
+def evaluations(small: ScoringConfig) -> dict[str, str]:
+    """SQL of the queries that evaluate sites; small: the registry's small lexicon."""
+    cases = case_sites(_page_text("html"), _collapse)
+    return {
+        "q_evaluate_precision": _evaluation(_PLAIN, f"{_PRECISE}, {_NAME} as company_name, {numbers()}, {flags(FLAGS)}"),
+        "q_evaluate_recall": _evaluation(_PLAIN, f"{_RECALLED}, {flags(RECALL_FLAGS)}"),
+        "q_evaluate_small_lexicon": _evaluation(_PLAIN, f"page_id, score as relevance_score, decision, category, {numbers()}, {flags(FLAGS)}", small),
+        "q_score_precision": _evaluation(cases, f"{_PRECISE}, {numbers()}"),
+        "q_score_recall": _evaluation(cases, f"{_RECALLED}, {flags(RECALL_FLAGS)}"),
+        "q_gates": _evaluation(cases, f"page_id, {flags(FLAGS)}"),
+        "q_category": _evaluation(cases, "page_id, bucket, c_architect, c_fitout, c_showroom, c_designer, c_developer, proof"),
+    }

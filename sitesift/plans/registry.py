@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 
 from ..functions import contacts, lexicon, page, terms, text, urls
 from ..operators import candidates, crawl, leads
-from ..operators.evaluate import counted, evaluate, ksa_signal, non_ksa, source_type, texts
+from ..operators.evaluate import categorized, counted, evaluate, ksa_signal, non_ksa, source_type, texts
 from ..sources import queries as query_sources
-from ..sources import search
+from ..sources import search, web
 from ..sources.sinks import Snapshot, wide_signals
 from ..streaming.leads import upsert_stream
-from .config import ScoringConfig
+from . import literals, runs_worker
+from .config import RunRequest, ScoringConfig
+from .evaluation_sql import CASES, FLAGS, NUMBERS, RECALL_FLAGS
 
 SMALL = ScoringConfig().with_lexicon(
     high_precision=["of the", "the", "und"], mid_precision=["the", "that", "la", "en"], business_intent=["and", "for", "is"], negative=["re", "ou"],
@@ -29,18 +31,33 @@ SMALL = ScoringConfig().with_lexicon(
 )
 
 
+#: Bytes of input beyond which a scan has splits enough for all cores.
+SPLIT_BYTES = 128_000_000
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt to all cores where a small file would leave most of them idle; larger tables are read in enough parts anyway."""
+    """A scan whose rows are dealt to all cores where a small file would leave most of them idle, by its size as planned; nothing runs for it."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if size < SPLIT_BYTES * cores else df
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
+def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites made of CASES and, for every second page, its own text."""
+    i = (F.col("page_id") % len(CASES)).cast("int")
+    of = lambda k: F.get(F.array(*[F.lit(c[k]) for c in CASES]), i)
+    own = F.when(i == 9, "").when(F.col("page_id") % 2 == 0, text.page_text(F.col("html"))).otherwise("")
+    given = F.concat(F.repeat(F.concat(of(4), F.lit(" ")), (1 + F.col("page_id") % 3).cast("int")), own)
+    html = F.concat(F.lit("<title>"), of(1), F.lit("</title><h1>"), of(2), F.lit("</h1><footer>"), of(3), F.lit("</footer>"))
+    return spread(_pages(spark, sf_dir).select("page_id", "html")).select("page_id", of(0).alias("url"), html.alias("html"), given.alias("text"))
+
+
 def _plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pages(spark, sf_dir).select("page_id", "url", "html", text.page_text(F.col("html")).alias("plain"))
+    return spread(_pages(spark, sf_dir)).select("page_id", "url", "html", text.page_text(F.col("html")).alias("plain"))
 
 
 def _norm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,22 +89,23 @@ def q_word_count(spark, d):
 
 def q_sections(spark, d):
     s = page.sections(F.col("html"))
-    return _pages(spark, d).select("page_id", s.alias("s")).select("page_id", "s.title", "s.h1", "s.footer", "s.meta", "s.h2")
+    return spread(_pages(spark, d)).select("page_id", s.alias("s")).select("page_id", "s.title", "s.h1", "s.footer", "s.meta", "s.h2")
 
 
 def q_term_counts(spark, d):
     """Boundary counts of a few terms in all documents."""
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", text.normalize(F.col("text")).alias("norm"))
+    docs = spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")).select("doc_id", text.normalize(F.col("text")).alias("norm"))
     return docs.select("doc_id", *[lexicon.count(F.col("norm"), t).cast("long").alias(n) for n, t in (("n_the", "the"), ("n_of_the", "of the"), ("n_re", "re"), ("n_und", "und"))])
 
 
 def q_term_substrings(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", text.normalize(F.col("text")).alias("norm"))
+    docs = spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")).select("doc_id", text.normalize(F.col("text")).alias("norm"))
     return docs.select("doc_id", *[lexicon.count(F.col("norm"), t).cast("long").alias(n) for n, t in (("n_e_acute", "é"), ("n_o_umlaut", "ö"), ("n_tilde", "ñ"))])
 
 
 def q_weighted_counts(spark, d):
-    held = texts(_plain(spark, d).select("page_id", "url", "html", F.col("plain").alias("text")), SMALL)
+    pages = spread(_pages(spark, d))
+    held = texts(pages.select("page_id", "url", "html", text.page_text(F.col("html")).alias("text")), SMALL)
     held = counted(held, SMALL)
     return held.select("page_id", "hp", "mp", "biz", "neg", "kitchen_hits", "fitout", "portfolio", F.col("words").cast("long").alias("words"))
 
@@ -133,19 +151,49 @@ def _evaluated(spark, d, config):
     return evaluate(rows.select("page_id", "url", "html", "text"), config)
 
 
+def _signal(*names: str) -> list:
+    return [F.round(F.col("signals")[n], 6).alias(n) for n in names]
+
+
+_TOLD = ("domain", "relevance_score", "decision", "lead_type", "category", "source_type", "country", "city")
+
+
 def q_evaluate_precision(spark, d):
     out = _evaluated(spark, d, ScoringConfig())
-    return out.select("page_id", "domain", "relevance_score", "confidence", "decision", "lead_type", "category", "source_type", "company_name", "country", "city", "empty_content", F.to_json("signals").alias("signals"), "reasons")
+    return out.select("page_id", *_TOLD, "company_name", F.round("confidence", 6).alias("confidence"), *_signal(*NUMBERS, *FLAGS))
 
 
 def q_evaluate_recall(spark, d):
     out = _evaluated(spark, d, ScoringConfig(mode="recall"))
-    return out.select("page_id", "domain", "relevance_score", "confidence", "decision", "category", "reasons")
+    return out.select("page_id", *_TOLD, F.round("confidence", 6).alias("confidence"), *_signal(*RECALL_FLAGS))
 
 
 def q_evaluate_small_lexicon(spark, d):
     out = _evaluated(spark, d, SMALL)
-    return out.select("page_id", "relevance_score", "decision", "category", F.to_json("signals").alias("signals"))
+    return out.select("page_id", "relevance_score", "decision", "category", *_signal(*NUMBERS, *FLAGS))
+
+
+def q_score_precision(spark, d):
+    """Score, decision and confidence of sites whose sections hold terms of the default lexicon."""
+    out = evaluate(_sites(spark, d), ScoringConfig())
+    return out.select("page_id", *_TOLD, F.round("confidence", 6).alias("confidence"), *_signal(*NUMBERS))
+
+
+def q_score_recall(spark, d):
+    out = evaluate(_sites(spark, d), ScoringConfig(mode="recall"))
+    return out.select("page_id", *_TOLD, F.round("confidence", 6).alias("confidence"), *_signal(*RECALL_FLAGS))
+
+
+def q_gates(spark, d):
+    return evaluate(_sites(spark, d), ScoringConfig()).select("page_id", *_signal(*FLAGS))
+
+
+def q_category(spark, d):
+    """Every site's best bucket, before the decision, with the counts that it follows from."""
+    held = counted(texts(_sites(spark, d)), ScoringConfig())
+    kind = source_type(F.col("domain"), F.col("path"), F.col("body"))["type"]
+    of = categorized(F.when((kind == "marketplace") & (F.col("individual") >= 2) & (F.col("business") < 2), "B2C").otherwise("B2B")).alias("bucket")
+    return held.select("page_id", of, *[F.round(c, 6).alias(c) for c in ("c_architect", "c_fitout", "c_showroom", "c_designer", "c_developer", "proof")])
 
 
 def _hits(spark, d):
@@ -173,7 +221,7 @@ def q_source_text(spark, d):
 
 
 def q_links(spark, d):
-    linked = crawl.internal_links(_pages(spark, d))
+    linked = crawl.internal_links(spread(_pages(spark, d)))
     return linked.select("page_id", F.posexplode("links").alias("pos", "l")).select("page_id", (F.col("pos") + 1).cast("long").alias("pos"), F.col("l.url").alias("link"), F.col("l.anchor").alias("anchor"))
 
 
@@ -255,14 +303,14 @@ def q_batch_leads(spark, d):
     rows = _pages(spark, d).select(urls.domain(F.col("url")).alias("domain"), F.col("page_id").alias("seq"), "html")
     joined = folded.withColumnRenamed("domain", "candidate").join(crawl.site_texts(rows), F.col("candidate") == F.col("site"))
     sites = joined.select("candidate", "first_seen_at", "hits", F.col("text").alias("aggregated_text"), F.col("example_url").alias("url"), F.col("home_html").alias("html"), "text")
-    return leads.batch_leads(evaluate(spread(sites))).withColumn("signals", F.to_json("signals"))
+    return leads.batch_leads(evaluate(sites)).drop("signals")
 
 
 def q_last_seen(spark, d):
-    """The last hits of each domain by arrival, five each (a limit by feature)."""
+    """The last hits of each domain by arrival, 20 each (a limit by feature)."""
     rows = candidates.hits(_hits(spark, d)).select("domain", F.col("seq.seq").alias("seq"), "url")
     order = Window.partitionBy("domain").orderBy(F.desc("seq"))
-    return rows.withColumn("place", F.row_number().over(order).cast("long")).filter("place <= 5")
+    return rows.withColumn("place", F.row_number().over(order).cast("long")).filter("place <= 20")
 
 
 def q_stream_upsert(spark, d):
@@ -274,9 +322,88 @@ def q_stream_upsert(spark, d):
     email = F.when(F.col("event_type") == "click", F.concat("event_type", F.col("event_id").cast("string"))).otherwise("")
     user = F.col("user_id").cast("string")
     rows = stream.select(user.alias("domain"), leads.lead_id(user).alias("lead_id"), email.alias("email"), F.lit("").alias("phone"), F.col("event_id").cast("string").alias("discovered_at"), F.col("event_id").alias("seq"))
-    target = Snapshot(spark, f"{base}/leads", "domain string, lead_id string, email string, phone string, discovered_at string")
+    target = Snapshot(spark, f"{base}/leads", "domain string, lead_id string, email string, phone string, discovered_at string", key="domain")
     upsert_stream(rows, target, f"{base}/check", "domain", "seq").awaitTermination()
     return target.read()
 
 
+# ---- rows given as literals, whose results are worked out by hand
+
+
+def _literal(spark, rows, *columns):
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, " + ", ".join(f"{c} string" for c in columns))
+
+
+def q_contacts(spark, d):
+    """E-mail addresses, phones and WhatsApp links of texts, attributes, protected and script forms."""
+    rows = _literal(spark, literals.CONTACTS, "text", "html").withColumn("raw", contacts.decoded_html(F.col("html")))
+    c = contacts.contacts(F.col("text"), F.col("html"), F.col("raw"), F.lit("x.sa"))
+    return rows.select("id", c.alias("c")).select("id", *[F.array_join(f"c.{k}", " ").alias(k) for k in ("emails", "phones", "whatsapp", "websites")])
+
+
+def q_json_ld(spark, d):
+    return _literal(spark, literals.JSON_LD, "html").select("id", page.json_ld(F.col("html")).alias("j")).select("id", "j.name", "j.city", "j.country")
+
+
+def q_page_sections(spark, d):
+    return _literal(spark, literals.SECTIONS, "html").select("id", page.sections(F.col("html")).alias("s")).select("id", "s.*")
+
+
+def q_decoded(spark, d):
+    """HTML references, natively and in full, and percent sequences."""
+    u = F.col("x")
+    return _literal(spark, literals.CODED, "x").select("id", text.unescape(u).alias("native"), text.unescape_all(u).alias("whole"), text.percent_decoded(u).alias("percent"))
+
+
+def q_body_text(spark, d):
+    return _literal(spark, literals.BODIES, "html").select("id", text.body_text(F.col("html")).alias("text"))
+
+
+def q_manual_urls(spark, d):
+    rows = spark.createDataFrame(list(enumerate(literals.URLS)), "seq long, url string")
+    return candidates.from_urls(rows, "2024-01-01").select("domain", "example_url", F.col("hits")[0]["rank"].alias("rank"), F.col("hits")[0]["query"].alias("query"))
+
+
+def q_search_cache(spark, d):
+    """Which requests the cache answers, which are asked once, and which errors tell of an exhausted quota."""
+    asked = search.requests(query_sources.for_run(spark, ["a", "b", "a", "c"]), search.SearchSettings(cx="x"))
+    cache = asked.filter("seq = 1").select("cache_key", F.lit(True).alias("ok"))
+    hit, miss = search.hits_and_misses(asked, cache)
+    return hit.select("q", F.lit("hit").alias("state")).unionByName(miss.select("q", F.lit("miss").alias("state")))
+
+
+def q_quota(spark, d):
+    rows = _literal(spark, literals.ERRORS, "error", "body").withColumn("response", F.from_json("body", search.RESPONSE))
+    return rows.select("id", search.quota_exhausted(F.col("error"), F.col("response")).alias("exhausted"))
+
+
+def q_page_cache(spark, d):
+    """Pages with a fresh fetch, and those to fetch: entries of the last 500 ids, an age limit of 300."""
+    pages = _pages(spark, d)
+    cache = pages.select("url", F.col("page_id").cast("double").alias("cached_at")).groupBy("url").agg(F.max("cached_at").alias("cached_at"))
+    fresh, missing = web.cached_and_missing(pages.select("url"), cache, now=400.0, ttl=300.0)
+    return fresh.select("url", F.lit(True).alias("cached")).unionByName(missing.select("url", F.lit(False).alias("cached")))
+
+
+def _service(spark, d):
+    found = candidates.fold(candidates.hits(_hits(spark, d)))
+    rows = _pages(spark, d).dropDuplicates(["url"])
+    fetched = rows.select("url", F.col("url").alias("final_url"), (F.col("page_id") % 7 != 0).alias("ok"), F.when(F.col("page_id") % 7 == 0, 404).otherwise(200).alias("status_code"), F.lit("text/html").alias("content_type"), F.col("html").alias("text"), F.lit(None).cast("string").alias("error"), F.lit(0.0).alias("cached_at"))
+    known = _lead_rows(spark, d).filter("page_id % 5 = 0").select("lead_id").distinct()
+    master = known.select("lead_id", F.lit("{}").alias("lead_json"), F.lit("2024-01-01").alias("created_at"), F.lit("2024-01-01").alias("last_seen_at"))
+    results = spark.createDataFrame([], "id long, run_id string, lead_id string, lead_json string, created_at string")
+    connect = runs_worker.Connectors(fetch_pages=lambda urls: fetched.join(urls.select("url"), "url", "left_semi"))
+    return runs_worker.run(spark, RunRequest(max_leads=40), found, connect, master, results, "r1", "2024-02-01")
+
+
+def q_service_run(spark, d):
+    """The results that a service run stores: candidates by arrival, at most 40, without those that are known."""
+    return _service(spark, d).results.select("run_id", "lead_id", "created_at")
+
+
+def q_master_leads(spark, d):
+    """The master table after that run."""
+    return _service(spark, d).master.select("lead_id", "created_at", "last_seen_at")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: f for n, f in list(globals().items()) if n.startswith("q_")}

@@ -14,10 +14,10 @@ from ..sources.sinks import Snapshot
 
 
 def upsert_stream(incoming: DataFrame, target: Snapshot, checkpoint: str, key: str, seq: str) -> StreamingQuery:
-    """Upserts each micro-batch into a snapshot; a batch that runs again changes nothing, as an upsert twice is an upsert once."""
+    """Upserts each micro-batch into the snapshot's buckets that it touches; a batch that runs again changes nothing, as an upsert twice is an upsert once."""
 
     def apply(batch: DataFrame, _: int) -> None:
-        target.replace(upsert(target.read(), batch, key=key, seq=seq))
+        target.merge(batch, lambda old, new: upsert(old, new, key=key, seq=seq))
 
     return incoming.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -183,3 +183,28 @@ def test_streams(spark, tmp_path):
     fold_stream(hits, 20).writeStream.format("memory").queryName("folded").outputMode("update").trigger(availableNow=True).start().awaitTermination(60)
     got = spark.table("folded").first()
     assert (got.first_seen_at, got.last_seen_at, len(got.urls)) == ("t0", "t39", 20)
+
+
+def test_snapshot_survives_a_stop_between_the_steps(spark, tmp_path):
+    from sitesift.sources.sinks import Snapshot
+
+    table = Snapshot(spark, f"{tmp_path}/t", "k string, n int", key="k", buckets=4)
+    assert table.read().count() == 0
+    table.replace(spark.createDataFrame([(f"k{i}", i) for i in range(20)], "k string, n int"))
+    table._write(spark.createDataFrame([("k0", 99)], "k string, n int"))  # written, but never pointed to
+    assert {r.n for r in table.read().collect()} == set(range(20))
+    before = table.current()
+    new = spark.createDataFrame([("k3", 300)], "k string, n int")
+    table.merge(new, lambda old, rows: old.join(rows.select("k"), "k", "left_anti").unionByName(rows))
+    assert {r.n for r in table.read().collect()} == (set(range(20)) - {3}) | {300}
+    assert sum(v != before[k] for k, v in table.current().items()) == 1 and table._numbers() == [0, 1]
+
+
+def test_run_is_cancelled_and_capped(spark):
+    from sitesift.plans import runs_worker
+    from sitesift.plans.config import RunRequest
+
+    found = spark.createDataFrame([], "domain string, first_seen_at string, example_url string, hits array<string>")
+    with pytest.raises(runs_worker.Cancelled):
+        runs_worker.run(spark, RunRequest(), found, None, found, found, "r", "now", cancelled=lambda: True)
+    assert len(runs_worker.failure("x" * 5000)) < 1100

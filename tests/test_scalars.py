@@ -122,3 +122,12 @@ def test_company_name(spark):
 def test_city_first_of_equals(spark):
     got = spark.range(1).select(page.city(F.lit("jeddah riyadh"), F.lit(""), F.lit(None).cast("string")), page.city(F.lit("jeddah jeddah"), F.lit("riyadh"), F.lit(None).cast("string"))).first()
     assert tuple(got) == ("riyadh", "riyadh")
+
+
+def test_terms_that_overlap_themselves(spark):
+    from sitesift.functions import lexicon
+
+    rows = spark.createDataFrame([("co co co",), ("a-a-a x",), ("anna anna",)], "t string")
+    for term in ("co co", "a-a", "anna"):
+        got = rows.select(lexicon.total(F.col("t"), [term, "x"]).alias("a"), (lexicon.count(F.col("t"), term) + lexicon.count(F.col("t"), "x")).alias("b")).collect()
+        assert [r.a for r in got] == [r.b for r in got]
