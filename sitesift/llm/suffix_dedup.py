@@ -119,39 +119,47 @@ def runs(symbols: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     return owner, key[at].view(np.int64), first, first + span - 1, weight
 
 
+def _edges(values: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before it; true at both ends, so one longer than `values`."""
+    out = np.ones(len(values) + 1, bool)
+    np.not_equal(values[1:], values[:-1], out=out[1:-1])
+    return out
+
+
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes sorted by at least their first `depth` symbols (0 separates), by doubling; those that are equal so far in any order."""
     n = len(text)
-    used = np.zeros(int(text.max(initial=0)) + 1, bool)
+    if not n:
+        return np.zeros(0, np.int64)
+    used = np.zeros(int(text.max()) + 1, bool)
     used[0] = used[text] = True
     bits = max(1, int(used.sum() - 1).bit_length())
     dense = (np.cumsum(used) - 1)[text]
-    first = 63 // bits  # symbols that one number holds
+    known = 63 // bits  # symbols that one number holds
     packed = np.zeros(n, np.int64)
-    for k in range(first):
+    for k in range(known):
         packed <<= bits
         packed[: max(n - k, 0)] |= dense[k:]
     order = np.argsort(packed)
-    known = first
-    value = packed[order]
-    new = np.concatenate(([True], value[1:] != value[:-1]))
-    # a rank is the place of its group's first suffix
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    place = np.flatnonzero(~(new & np.append(new[1:], True)))
+    edge = _edges(packed[order])
+    # a rank is one more than the place of its group's first suffix; 0 stands behind the end
+    group = np.maximum.accumulate(np.where(edge[:-1], np.arange(n, dtype=np.int32), 0), dtype=np.int32)
+    rank = np.zeros(n + 2 * max(depth, known), np.int32)
+    rank[order] = group + 1
+    place = np.flatnonzero(~(edge[:-1] & edge[1:]))
+    group, who = group[place], order[place]
     while known < depth and len(place):
         # only suffixes that still have an equal are sorted again
-        who = order[place]
-        ahead = who + known
-        key = rank[who] * (n + 1)
-        inside = ahead < n
-        key[inside] += rank[ahead[inside]] + 1
+        key = group.astype(np.int64) << 32
+        key |= rank[who + known]
         by = np.argsort(key)
-        who, key = who[by], key[by]
+        who = who[by]
         order[place] = who
-        new = np.concatenate(([True], key[1:] != key[:-1]))
-        rank[who] = place[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
-        place = place[~(new & np.append(new[1:], True))]
+        edge = _edges(key[by])
+        group = np.maximum.accumulate(np.where(edge[:-1], place, 0)).astype(np.int32)
+        rank[who] = group + 1
+        still = np.flatnonzero(~(edge[:-1] & edge[1:]))
+        place, group, who = place[still], group[still], who[still]
         known *= 2
     return order
 
@@ -159,9 +167,10 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
 def repeated(text: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """For each place of `text` (symbols from 1, 0 between segments), whether its `length` symbols stand elsewhere too.
 
-    Intervals of the Burrows-Wheeler transform are extended backwards, breadth first: the strings of one length at a time, and only those
+    Intervals [low, high) of the Burrows-Wheeler transform are extended backwards, breadth first: the strings of one length at a time, and only those
     whose interval ends where no shorter string's did. That end is a common prefix of just this length less one; places left after
-    length - 1 rounds have common prefixes of at least `length`.
+    length - 1 rounds have common prefixes of at least `length`. An interval whose members have one symbol before them moves as a whole; the members of
+    others are looked at one by one.
     """
     n = len(text)
     if n <= length:
@@ -170,38 +179,44 @@ def repeated(text: np.ndarray, length: int = LENGTH) -> np.ndarray:
     before = text[order - 1]
     before[order == 0] = 0
     by = np.argsort(before, kind="stable")
-    step = np.empty(n, np.int64)  # where the suffix one symbol longer stands
-    step[by] = np.arange(n)
+    places = np.arange(n, dtype=np.int32)
+    step = np.empty(n, np.int32)  # where the suffix one symbol longer stands
+    step[by] = places
     sorted_before = before[by]
-    same = np.concatenate(([False], sorted_before[1:] == sorted_before[:-1]))
-    earlier = np.full(n, -1, np.int64)
-    earlier[by[same]] = by[np.flatnonzero(same) - 1]
-    later = np.full(n, n, np.int64)
-    later[by[np.flatnonzero(same) - 1]] = by[same]
+    same = np.flatnonzero(sorted_before[1:] == sorted_before[:-1])
+    ended = before == 0
+    earlier = np.full(n, -1, np.int32)  # the member before and after with the same symbol; an ended one is neither first nor last
+    earlier[by[same + 1]] = by[same]
+    earlier[ended] = n
+    later = np.full(n, n, np.int32)
+    later[by[same]] = by[same + 1]
+    later[ended] = -1
+    onward = np.zeros(n + 1, np.int32)  # where an interval that ends behind a member ends then; 0 is never open
+    onward[1:] = np.where(ended, 0, step + 1)
     open_ = np.ones(n + 1, bool)
     open_[[0, n]] = False
-    head = text[order]
-    low = np.flatnonzero(np.concatenate(([True], head[1:] != head[:-1])))
-    high = np.append(low[1:], n) - 1
-    open_[high + 1] = False
+    edges = np.flatnonzero(_edges(text[order])).astype(np.int32)
+    low, high = edges[:-1], edges[1:]
+    open_[high] = False
     for _ in range(1, length):
         if not len(low):
             break
-        one = low == high
-        alone = low[one]
-        alone = step[alone[before[alone] != 0]]
-        alone = alone[open_[alone + 1]]
-        a, b = low[~one], high[~one]
-        size = b - a + 1
-        at = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        at_low, at_high = np.repeat(a, size), np.repeat(b, size)
-        symbol = before[at] != 0
-        lows = np.sort(step[at[symbol & (earlier[at] < at_low)]])
-        highs = step[at[symbol & (later[at] > at_high)]]
-        highs = highs[open_[highs + 1]]
-        low = np.concatenate((alone, lows[np.searchsorted(lows, highs, "right") - 1]))
-        high = np.concatenate((alone, highs))
-        open_[high + 1] = False
+        size, moved, end = high - low, step[low], onward[high]
+        whole = (end - moved == size) & (before[low] == before[high - 1])
+        split = np.flatnonzero(~whole & (size > 1))
+        kept = np.flatnonzero(whole & open_[end])
+        if len(split):
+            low, high, size = low[split], high[split], size[split]
+            total = np.cumsum(size, dtype=np.int32)
+            at = np.repeat(low - total + size, size) + places[: total[-1]]
+            lows = np.sort(step[at[earlier[at] < np.repeat(low, size)]])
+            high = onward[at[later[at] >= np.repeat(high, size)] + 1]
+            high = high[open_[high]]
+            low = np.concatenate((moved[kept], lows[np.searchsorted(lows, high) - 1]))
+            high = np.concatenate((end[kept], high))
+        else:
+            low, high = moved[kept], end[kept]
+        open_[high] = False
     out = np.zeros(n, bool)
     out[order] = open_[:-1] | open_[1:]
     return out
@@ -289,7 +304,7 @@ def _solve(rows: list[Segment], whole: list[Segment], unit: Unit) -> pa.RecordBa
 def _expand(batches: Iterator[pa.RecordBatch], unit: Unit, limit: int = 200_000) -> Iterator[pa.RecordBatch]:
     """Rows sorted by unit of work: whole units are gathered up to about `limit` bytes, and one transform serves them all.
 
-    A unit of one segment that has copies is repeated as a whole; it needs no transform.
+    Segments that all have copies are repeated as a whole; their unit needs no transform.
     """
     held: dict[bytes, Segment] = {}  # a segment that stands in several units is taken once
     whole: list[Segment] = []
@@ -297,9 +312,9 @@ def _expand(batches: Iterator[pa.RecordBatch], unit: Unit, limit: int = 200_000)
     size, now = 0, None
 
     def close() -> int:
-        if len(mine) == 1 and mine[0][2] > 1:
-            whole.append(mine[0])
-            return 64
+        if all(copies > 1 for _, _, copies, _ in mine):
+            whole.extend(mine)
+            return 64 * len(mine)
         held.update((r[0], r) for r in mine)
         return sum(len(r[1]) for r in mine)
 
