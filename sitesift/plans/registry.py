@@ -7,7 +7,6 @@ through the same code, and the full evaluations take both.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -19,7 +18,7 @@ from ..operators import candidates, crawl, leads
 from ..operators.evaluate import categorized, counted, evaluate, ksa_signal, non_ksa, source_type, texts
 from ..sources import queries as query_sources
 from ..sources import search, web
-from ..sources.sinks import Snapshot, wide_signals
+from ..sources.sinks import Snapshot, shared_folder, wide_signals
 from ..streaming.leads import upsert_stream
 from . import literals, runs_worker
 from .config import RunRequest, ScoringConfig
@@ -315,8 +314,7 @@ def q_last_seen(spark, d):
 
 def q_stream_upsert(spark, d):
     """Events as a file stream of lead rows, upserted batch by batch: the state after all of them."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sitesift-")
-    base = f"{shared}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     fields = spark.read.parquet(f"{d}/events.parquet").schema
     stream = spark.readStream.schema(fields).option("maxFilesPerTrigger", 1).parquet(f"{d}/event[s].parquet")
     email = F.when(F.col("event_type") == "click", F.concat("event_type", F.col("event_id").cast("string"))).otherwise("")

@@ -114,16 +114,21 @@ def read_index(spark: SparkSession, path: str, schema: StructType | str) -> Data
     return spark.read.schema(schema).json(path, mode="DROPMALFORMED")
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """df written to the folder that spark.checkpoint.dir names and read again, so that several steps read it without making it anew. The folder goes when the driver ends."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; one of our own only where driver and executors are one process."""
     where = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="sitesift-")
         spark.sparkContext.setCheckpointDir(where)
-    folder = f"{where}/stage-{uuid.uuid4().hex}"
+    return where
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again, so that several steps read it without making it anew. The folder goes when the driver ends."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     df.write.parquet(folder)

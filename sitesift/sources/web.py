@@ -9,7 +9,7 @@ import urllib.request
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -41,6 +41,20 @@ def cached_and_missing(urls: DataFrame, cache: DataFrame, now: float | None = No
     return asked.join(fresh, "url"), asked.join(fresh.select("url"), "url", "left_anti")
 
 
+def write_cache(fetches: DataFrame, path: str) -> None:
+    """Appends fetches (SCHEMA), failed ones too, to the cache."""
+    fetches.select(*[c.split()[0] for c in SCHEMA.split(", ")]).write.mode("append").parquet(path)
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """The last fetch of each URL; empty without a cache."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], SCHEMA)
+    rows = spark.read.schema(SCHEMA).parquet(path)
+    return rows.groupBy("url").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "url"]), "cached_at").alias("r")).select("url", "r.*")
+
+
 def fetch_one(url: str, settings: FetchSettings, opener=urllib.request.urlopen, sleep=time.sleep) -> tuple:
     """A row of SCHEMA; tries again on 429, 5xx and timeouts, waiting longer each time."""
     error, status = "", 0

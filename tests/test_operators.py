@@ -129,6 +129,44 @@ def test_search_cache(spark):
     assert [r[0] for r in got] == [True, True, False]
 
 
+def test_api_connector_retries_and_stops_at_the_quota(spark, tmp_path):
+    log = str(tmp_path / "asked")
+
+    def opener(request, timeout):
+        import io
+        import urllib.error
+        import urllib.parse
+
+        q = urllib.parse.parse_qs(urllib.parse.urlparse(request.full_url).query)["q"][0]
+        with open(log, "a+") as f:
+            f.write(q + "\n")
+            f.seek(0)
+            times = f.read().split().count(q)
+        if q == "c" and times == 1:
+            raise urllib.error.HTTPError(request.full_url, 503, "", {}, io.BytesIO(b"busy"))
+        if q in "de":
+            raise urllib.error.HTTPError(request.full_url, 429 if q == "e" else 400, "", {}, io.BytesIO(b"Quota exceeded" if q == "e" else b"bad"))
+        return io.BytesIO(b'{"items": [{"link": "https://%s.sa", "title": "t"}]}' % q.encode())
+
+    asked = search.requests(query_sources.for_run(spark, list("abcdef")), search.SearchSettings(cx="x"))
+    cache = spark.createDataFrame([], f"cache_key string, ok boolean, status_code int, fetched_at string, error string, response {search.RESPONSE}")
+    fetch = search.api_connector(search.ClientSettings("http://api", "k"), opener, lambda seconds: None)
+    answered, fresh = search.responses(asked, cache, fetch)
+    assert sorted(r["items"][0].link for r in answered.collect()) == ["https://a.sa", "https://b.sa", "https://c.sa"]
+    told = {(r.ok, r.status_code, r.error) for r in fresh.collect()}
+    assert told == {(True, 200, None), (False, 400, "bad"), (False, 429, "HTTP 429: Quota exceeded")}
+    assert open(log).read().split() == list("abccde")  # f comes after the quota's end
+    assert search.ask({"q": "x"}, search.ClientSettings("http://api", "k", retries=1), lambda *_, **__: (_ for _ in ()).throw(OSError("down")), lambda s: None)[:3] == (False, 0, "OSError('down')")
+
+
+def test_page_cache_keeps_the_last_fetch(spark, tmp_path):
+    path = str(tmp_path / "pages")
+    assert web.read_cache(spark, path).isEmpty()
+    for at, text in ((1.0, "old"), (2.0, "new")):
+        web.write_cache(spark.createDataFrame([("https://a.sa", "https://a.sa", True, 200, "text/html", text, None, at)], web.SCHEMA), path)
+    assert [(r.text, r.cached_at) for r in web.read_cache(spark, path).collect()] == [("new", 2.0)]
+
+
 def test_fetch_cache_and_retry(spark):
     urls = spark.createDataFrame([("a.sa",), ("https://a.sa",), ("b.sa",), ("",)], "url string")
     cache = spark.createDataFrame([("https://a.sa", "x", True, 200, "", "", None, 10.0)], web.SCHEMA)
