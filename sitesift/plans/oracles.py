@@ -74,6 +74,51 @@ def _list(words: list[str]) -> str:
     return "[" + ", ".join("'" + w.lower().replace("'", "''") + "'" for w in words) + "]"
 
 
+def _links(source: str) -> str:
+    """f: links of the source's pages (page_id, url, html) to their own domain; nth counts those of one URL."""
+    href = """'(?is)<a\\s(?:[^>]*?\\s)?href\\s*=\\s*["'']([^"'']*)["''][^>]*>(.*?)</a>'"""
+    return f"""l as (select page_id, url, {_DOMAIN} as domain, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) as origin, regexp_extract_all(html, {href}, 1)[1:250] as h, regexp_extract_all(html, {href}, 2)[1:250] as b from {source}),
+u as (select page_id, domain, origin, unnest(range(len(h))) as i, unnest(h) as h, unnest(b) as b from l),
+a as (select page_id, i, regexp_replace({_entities("case when starts_with(h, '/') then origin || h else h end")}, '#.*$', '') as link, {_strip('b')} as anchor, domain from u where h <> ''),
+f as (select *, row_number() over (partition by page_id, link order by i) as nth from a where regexp_replace(lower(regexp_extract(link, '//([^/?#]*)', 1)), '^www\\.', '') = domain)"""
+
+
+def _wanted(source: str) -> str:
+    """wanted: page_id, nr (from 1), link: home, then the best link of each kind, or guesses where there is no link."""
+
+    def score(words: list[str], more: str = "0") -> str:
+        return " + ".join(f"100 * cast(contains(lower(link), '{w}') as int) + 80 * cast(contains(lower(anchor), '{w}') as int)" for w in (w.lower() for w in words)) + f" + {more}"
+
+    scores = (
+        score(terms.LINK_CONTACT, "20 * cast(regexp_matches(lower(link), 'whatsapp|wa\\.me') as int)"), score(terms.LINK_ABOUT), score(terms.LINK_SERVICES),
+        score(terms.LINK_PROJECTS, "10 * cast(regexp_matches(lower(link), 'gallery|portfolio') as int)"),
+    )
+    return f"""{_links(source)},
+k as (select page_id, i, link, unnest([1, 2, 3, 4]) as place, unnest([{", ".join(scores)}]) as score from f where nth = 1),
+best as (select page_id, place, arg_max(link, score * 1000 - i) as link from k where score > 0 group by page_id, place),
+folder as (select page_id, case when bare = origin then origin || '/' else regexp_extract(bare, '^(.*/)', 1) end as folder
+  from (select page_id, regexp_extract(url, '^[^?#]*') as bare, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) as origin from {source}) where page_id not in (select page_id from f)),
+each as (select page_id, 0 as place, url as link from {source} union all select * from best
+  union all select page_id, unnest([1, 2, 3, 4, 5]), folder || unnest(['contact', 'contact-us', 'about', 'services', 'projects']) from folder),
+placed as (select page_id, row_number() over (partition by page_id order by min(place)) as nr, link from each group by page_id, link),
+wanted as (select * from placed where nr <= 5)"""
+
+
+def _collected(source: str) -> str:
+    """The end of a query over `wanted` and `fetched` (url, ok, body): what is read of each site."""
+    return f"""plain as (select url, ok, {_page_text('body')} as t from fetched),
+got as (select w.page_id, w.nr, coalesce(p.ok, false) as ok, p.t from wanted w left join plain p on p.url = w.link),
+alive as (select page_id from got where nr = 1 and ok),
+done as (select page_id, cast(length(coalesce(string_agg(t, chr(10) order by nr) filter (where ok and t <> ''), '')) as bigint) as chars, count(*) filter (where ok and t <> '') as visited, count(*) filter (where not ok) as failed
+  from got where page_id in (select page_id from alive) group by 1)
+select s.url, coalesce(d.chars, 0) as chars, coalesce(d.visited, 0) as visited, coalesce(d.failed, 1) as failed from {source} s left join done d using (page_id)"""
+
+
+#: As the registry's own: links renamed so that kinds of pages occur, and none at all on every fifth page.
+_NAMED = """named as (select page_id, url, case when page_id % 5 = 0 then replace(html, '<a ', '<b ') else replace(replace(replace(replace(html, 'href="/a', 'href="/about-'), 'href="/t', 'href="/our-work/'),
+  'href="/e', 'href="/services/e'), 'href="/d', 'href="/contact/whatsapp-') end as html from pages)"""
+
+
 _KEYWORDS = [(t, w) for t, ws in (("kitchen_en", terms.QUERY_KITCHEN_EN), ("kitchen_ar", terms.QUERY_KITCHEN_AR), ("fitout_en", terms.QUERY_FITOUT_EN), ("fitout_ar", terms.QUERY_FITOUT_AR), ("architect_en", terms.QUERY_ARCHITECT_EN), ("architect_ar", terms.QUERY_ARCHITECT_AR)) for w in ws]
 _GENERATED = f"""c as (select * from (values {', '.join(f"({i}, '{c}')" for i, c in enumerate(terms.QUERY_CITIES))}) as t(c, city)),
 k as (select * from (values {', '.join(f"({i}, '{t}', '{w}')" for i, (t, w) in enumerate(_KEYWORDS))}) as t(k, tag, word)),
@@ -110,12 +155,12 @@ c as (select page_id, trim(regexp_replace(name, '(?i)\\b(home|homepage|official|
     "q_hit_rank": f"with {_HITS} select cast(seq // 10 as bigint) as response, row_number() over (partition by seq // 10 order by seq) as rank, url from hit",
     "q_source_text": f"with {_HITS} select domain, 'google_cse|query=' || arg_min(query, seq) || '|rank=1|url=' || arg_min(url, seq) as source from hit group by 1",
     "q_site_texts": f"with p as (select {_DOMAIN} as site, page_id, {_page_text('html')} as t from pages) select site, count(*) filter (where t <> '') as pages, sha256(coalesce(string_agg(t, chr(10) order by page_id) filter (where t <> ''), '')) as text_sha256 from p group by 1",
-    "q_links": f"""with l as (select page_id, url, {_DOMAIN} as domain, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) as origin,
-  regexp_extract_all(html, '(?is)<a\\s(?:[^>]*?\\s)?href\\s*=\\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 1)[1:250] as h, regexp_extract_all(html, '(?is)<a\\s(?:[^>]*?\\s)?href\\s*=\\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 2)[1:250] as b from pages),
-u as (select page_id, domain, origin, unnest(range(len(h))) as i, unnest(h) as h, unnest(b) as b from l),
-a as (select page_id, i, regexp_replace({_entities("case when starts_with(h, '/') then origin || h else h end")}, '#.*$', '') as link, {_strip('b')} as anchor, domain from u where h <> ''),
-f as (select *, row_number() over (partition by page_id, link order by i) as nth from a where regexp_replace(lower(regexp_extract(link, '//([^/?#]*)', 1)), '^www\\.', '') = domain)
-select page_id, row_number() over (partition by page_id order by i) as pos, link, anchor from f where nth = 1""",
+    "q_links": f"with {_links('pages')} select page_id, row_number() over (partition by page_id order by i) as pos, link, anchor from f where nth = 1",
+    "q_best_links": f"with {_wanted('pages')} select s.url, string_agg(w.link, ' ' order by w.nr) as wanted from wanted w join pages s using (page_id) group by s.page_id, s.url",
+    "q_best_links_named": f"with {_NAMED}, {_wanted('named')} select s.url, string_agg(w.link, ' ' order by w.nr) as wanted from wanted w join named s using (page_id) group by s.page_id, s.url",
+    "q_collect_sites": f"with {_wanted('pages')}, fetched as (select url, page_id % 7 <> 0 as ok, html as body from pages), {_collected('pages')}",
+    "q_collect_linked": f"""with {_NAMED}, {_wanted('named')}, fetched as (select url, page_id % 7 <> 0 as ok, html as body from named
+  union all (select distinct link, length(link) % 3 <> 0, case when length(link) % 3 = 1 then '' else '<p>' || link || '</p>' end from wanted where nr > 1 and length(link) % 5 <> 0 and link not in (select url from named))), {_collected('named')}""",
     "q_upsert_leads": f"""with {_LEADS}, o as (select domain, arg_min(lead_id, page_id) as lead_id, arg_min(discovered_at, page_id) as discovered_at, coalesce(arg_max(email, page_id) filter (where email <> ''), '') as email from lead where page_id % 2 = 0 group by 1),
 n as (select domain, arg_min(lead_id, page_id) as lead_id, arg_min(discovered_at, page_id) as discovered_at, coalesce(arg_max(email, page_id) filter (where email <> ''), '') as email from lead where page_id % 2 = 1 group by 1)
 select coalesce(n.domain, o.domain) as domain, coalesce(nullif(n.email, ''), o.email, n.email) as email, '' as phone, coalesce(o.discovered_at, n.discovered_at) as discovered_at, coalesce(o.lead_id, n.lead_id) as lead_id from o full join n on o.domain = n.domain""",

@@ -224,15 +224,54 @@ def q_links(spark, d):
     return linked.select("page_id", F.posexplode("links").alias("pos", "l")).select("page_id", (F.col("pos") + 1).cast("long").alias("pos"), F.col("l.url").alias("link"), F.col("l.anchor").alias("anchor"))
 
 
+def _named(spark, d):
+    """Pages whose links are renamed so that kinds of pages occur; every fifth page has no link."""
+    html = F.col("html")
+    for old, new in (('href="/a', 'href="/about-'), ('href="/t', 'href="/our-work/'), ('href="/e', 'href="/services/e'), ('href="/d', 'href="/contact/whatsapp-')):
+        html = F.replace(html, F.lit(old), F.lit(new))
+    html = F.when(F.col("page_id") % 5 == 0, F.replace(F.col("html"), F.lit("<a "), F.lit("<b "))).otherwise(html)
+    return _pages(spark, d).select("page_id", "url", html.alias("html"))
+
+
+def _wanted(pages):
+    return crawl.pages_to_read(spread(pages).select("url", "html"))
+
+
 def q_best_links(spark, d):
-    return crawl.pages_to_read(_pages(spark, d).select("url", "html")).select("url", F.array_join("wanted", " ").alias("wanted"))
+    return _wanted(_pages(spark, d)).select("url", F.array_join("wanted", " ").alias("wanted"))
+
+
+def q_best_links_named(spark, d):
+    return _wanted(_named(spark, d)).select("url", F.array_join("wanted", " ").alias("wanted"))
+
+
+def _fetches(pages):
+    """Pages as fetches of themselves; every seventh failed."""
+    status = F.when(F.col("page_id") % 7 == 0, 404).otherwise(200)
+    return pages.select("url", F.col("url").alias("final_url"), status.alias("status_code"), F.lit("text/html").alias("content_type"), F.col("html").alias("text"), F.lit(None).cast("string").alias("error"))
+
+
+def _collected(sites, fetched):
+    out = crawl.collect_sites(sites.select("url"), fetched)
+    long = lambda c: c.cast("long")
+    return out.select("url", long(F.length("aggregated_text")).alias("chars"), long(F.size("visited_urls")).alias("visited"), long(F.size("failed_urls")).alias("failed"))
 
 
 def q_collect_sites(spark, d):
     """Sites read from a table of fetches: pages themselves."""
-    fetched = _pages(spark, d).select("url", F.col("url").alias("final_url"), F.when(F.col("page_id") % 7 == 0, 404).otherwise(200).alias("status_code"), F.lit("text/html").alias("content_type"), F.col("html").alias("text"), F.lit(None).cast("string").alias("error")).dropDuplicates(["url"])
-    out = crawl.collect_sites(fetched.select("url"), fetched)
-    return out.select("url", F.length("aggregated_text").alias("chars"), F.size("visited_urls").alias("visited"), F.size("failed_urls").alias("failed"))
+    fetched = spread(_fetches(_pages(spark, d))).dropDuplicates(["url"])
+    return _collected(fetched, fetched)
+
+
+def q_collect_linked(spark, d):
+    """Sites whose linked pages were fetched too: some are empty, some failed, some were not fetched."""
+    named = _named(spark, d)
+    homes = spread(_fetches(named)).dropDuplicates(["url"])
+    link, size = F.col("link"), F.length("link")
+    linked = _wanted(named).select(F.explode(F.slice("wanted", 2, 5)).alias("link")).filter(size % 5 != 0).distinct().join(named.select(F.col("url").alias("link")), "link", "left_anti")
+    body = F.when(size % 3 == 1, "").otherwise(F.concat(F.lit("<p>"), link, F.lit("</p>")))
+    more = linked.select(link.alias("url"), link.alias("final_url"), F.when(size % 3 == 0, 500).otherwise(200).alias("status_code"), F.lit("text/html").alias("content_type"), body.alias("text"), F.lit(None).cast("string").alias("error"))
+    return _collected(homes, homes.unionByName(more))
 
 
 def q_site_texts(spark, d):
